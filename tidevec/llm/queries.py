@@ -19,6 +19,12 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidevec.llm.near_dup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidevec.llm.decontaminate import report
 
@@ -33,6 +39,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts,
+    "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
     "op10_quality_rules": quality_rules,
 }
