@@ -31,6 +31,12 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidevec.llm.substring import report
+
+    return report(_read(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidevec.llm.quality_rules import apply_rules
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
+    "op8_substring_dedup": substring_dedup,
     "op10_quality_rules": quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
