@@ -31,6 +31,20 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def warc_dictionary_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidevec.llm.warc import archive_and_read
+
+    return archive_and_read(spark, _read(spark, sf_dir, "pages"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidevec.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidevec.llm.substring import report
 
@@ -47,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
+    "op6_warc_dictionary_writer": warc_dictionary_writer,
+    "op7_best_fit_packing": best_fit_packing,
     "op8_substring_dedup": substring_dedup,
     "op10_quality_rules": quality_rules,
 }
