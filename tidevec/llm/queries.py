@@ -11,6 +11,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidevec.llm.language_id import fit, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +58,13 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_read(spark, sf_dir, "documents"))
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidevec.llm.toxicity import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidevec.llm.quality_rules import apply_rules
 
@@ -58,12 +72,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id,
     "op2_token_counts": token_counts,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
     "op6_warc_dictionary_writer": warc_dictionary_writer,
     "op7_best_fit_packing": best_fit_packing,
     "op8_substring_dedup": substring_dedup,
+    "op9_toxicity": toxicity,
     "op10_quality_rules": quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
