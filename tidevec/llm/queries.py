@@ -26,6 +26,12 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidevec.llm.quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidevec.llm.near_dup import near_duplicates
 
@@ -74,6 +80,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op2_token_counts": token_counts,
+    "op3_quality_classifier": quality_classifier,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
     "op6_warc_dictionary_writer": warc_dictionary_writer,
