@@ -17,7 +17,7 @@ BATCH_ROWS = 512
 #: Rows up to which a table of ids or of sites is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's word cache (about 0.2 kB each).
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 def prepare(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ in a document of smaller doc_id, or before in the same document.
 3. Windows. A second pass sends, of each window whose anchor is estimated at two or more, the first
    occurrence of each batch to the task of its hash range; there exact groups find the earliest occurrence
    of each window. Later occurrences in the same batch are known to be removed at once.
-4. What is to be removed comes back as word ranges by document.
+4. What is to be removed goes to the task of its document's hash range and comes back as a row a document.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ CELLS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 8, 20, 29
 #: Ranges that a sketch row is merged in.
 RANGES = 64
 #: Windows that one exact group is meant to hold.
-GROUP_WINDOWS = 1_000_000
+GROUP_WINDOWS = 500_000
 #: Bytes of text after which a task sends what it has gathered.
-FLUSH_BYTES = 32_000_000
+FLUSH_BYTES = 8_000_000
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _NONE = np.empty(0, np.int64)
@@ -122,7 +122,7 @@ def build_sketch(docs: DataFrame, bits: int) -> tuple[list[np.ndarray], int]:
     windows = sent.agg(F.sum("windows")).first()[0] or 0
     merged = sent.where("row >= 0").select("row", "range", "part").groupBy("row", "range").applyInArrow(merge, "row int, range int, bits binary")
     full = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         full[r["row"]][r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(zstandard.decompress(bytes(r["bits"])), np.uint8)
     return full, windows
 
@@ -148,8 +148,8 @@ def _earliest(h: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray)
     return order, (doc != doc[first]) | (twin != twin[first]) | (at != at[first])
 
 
-def _ranges(doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
-    """Window starts as one row for each document, packed."""
+def _by_document(doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
+    """Distinct window starts as one row for each document, packed."""
     order = np.lexsort((at, twin, doc))
     doc, twin, at = doc[order], twin[order], at[order]
     ends = np.flatnonzero(np.concatenate(((doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]), [True]))) + 1 if len(doc) else _NONE
@@ -157,49 +157,72 @@ def _ranges(doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[list, li
     for b in ends.tolist():
         docs.append(int(doc[a]))
         twins.append(int(twin[a]))
-        packed.append(_pack(np.diff(at[a:b], prepend=0).astype(np.uint32)))
+        packed.append(_pack(np.diff(np.unique(at[a:b]), prepend=0).astype(np.uint32)))
         a = b
     return docs, twins, packed
 
 
+def _parts(group: np.ndarray, groups: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Groups that occur, and the packed columns of each. Documents are the last three columns: id, text hash, place."""
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(groups + 1))
+    found, packed = [], []
+    for k in range(groups):
+        at = order[ends[k] : ends[k + 1]]
+        if len(at):
+            found.append(k)
+            packed.append(_pack(np.array([len(at)], np.int64), *(c[at].astype(np.uint32) if i == len(columns) - 1 else c[at] for i, c in enumerate(columns))))
+    return found, packed
+
+
+def _unpack(parts: list[bytes], hashed: bool) -> tuple[np.ndarray, ...]:
+    """(window hash,) document id, text hash and place of all rows in parts."""
+    types = [*([np.uint64] if hashed else []), np.int64, np.int64, np.uint32]
+    columns: list[list] = [[np.empty(0, t)] for t in types]
+    for part in parts:
+        raw = zstandard.decompress(part)
+        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        for column, t in zip(columns, types):
+            column.append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    *first, place = (np.concatenate(c) for c in columns)
+    return (*first, place.astype(np.int64))
+
+
+def _groups(h: np.ndarray, groups: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+
+
+def _homes(doc: np.ndarray, twin: np.ndarray, groups: int) -> np.ndarray:
+    return _groups(mix(doc.view(np.uint64) ^ mix(twin.view(np.uint64))), groups)
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """_doc, _twin, starts: packed starts of windows to be removed, in some rows for each document.
+    """_doc, _twin, starts: a row for each document that has windows to be removed, with their packed starts.
 
     docs has _doc (doc_id, least long for null), _twin (hash of the text) and text.
     """
     spark = docs.sparkSession
-    words = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, words / 6 / 6 * CELLS_PER_ANCHOR))), LEAST_BITS, MOST_BITS))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(1, size / 6 / 6 * CELLS_PER_ANCHOR))), LEAST_BITS, MOST_BITS))
     sketch, windows = build_sketch(docs, bits)
-    shards = max(8, -(-windows // GROUP_WINDOWS))
+    shards = max(8, -(-windows // (4 * GROUP_WINDOWS)))
     table = spark.sparkContext.broadcast(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = table.value
-        hs, docs_, twins, ats, held = [], [], [], [], 0
+        gathered: list[list] = [[], [], [], []]
+        held = 0
 
         def out() -> pa.RecordBatch:
-            h, doc, twin, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((hs, np.uint64), (docs_, np.int64), (twins, np.int64), (ats, np.int64)))
+            h, doc, twin, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(gathered, (np.uint64, np.int64, np.int64, np.int64)))
             order, later = _earliest(h, doc, twin, at)
-            gone = order[later]
-            d, t, packed = _ranges(doc[gone], twin[gone], at[gone])
-            n = len(d)
-            shard, parts = [-1] * n, packed
-            stay = order[~later]
-            h, doc, twin, at = h[stay], doc[stay], twin[stay], at[stay]
+            gone, stay = order[later], order[~later]
+            homes, removed = _parts(_homes(doc[gone], twin[gone], shards), shards, doc[gone], twin[gone], at[gone])
             # Rows of one (id, text) may be there twice; one place is sent once.
-            keep = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
-            h, doc, twin, at = h[keep], doc[keep], twin[keep], at[keep]
-            of = (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-            ends = np.searchsorted(of, np.arange(shards + 1))
-            for s in range(shards):
-                a, b = ends[s], ends[s + 1]
-                if b > a:
-                    shard.append(s)
-                    d.append(0)
-                    t.append(0)
-                    parts.append(_pack(h[a:b], doc[a:b], twin[a:b], at[a:b].astype(np.uint32)))
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(parts, pa.binary())], ["shard", "_doc", "_twin", "part"])
+            stay = stay[np.concatenate(([True], h[stay][1:] != h[stay][:-1]))] if len(stay) else stay
+            of, sent = _parts(_groups(h[stay], shards), shards, h[stay], doc[stay], twin[stay], at[stay])
+            return pa.RecordBatch.from_arrays([pa.array([*homes, *of], pa.int64()), pa.array([True] * len(homes) + [False] * len(of), pa.bool_()), pa.array([*removed, *sent], pa.binary())], ["shard", "removed", "part"])
 
         for b in batches:
             for doc, twin, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
@@ -210,38 +233,34 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 h = WORDS.array(words)
                 at, g = anchors(h)
                 place = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                ok = np.repeat(repeated(g[at[place]], full, bits), np.diff(place, append=len(at)))
-                at = np.flatnonzero(ok)
+                at = np.flatnonzero(np.repeat(repeated(g[at[place]], full, bits), np.diff(place, append=len(at))))
                 if len(at):
-                    hs.append(window_hashes(h, WINDOW)[at])
-                    docs_.append(np.full(len(at), doc, np.int64))
-                    twins.append(np.full(len(at), twin, np.int64))
-                    ats.append(at)
-            if held >= FLUSH_BYTES:
-                yield out()
-                hs, docs_, twins, ats, held = [], [], [], [], 0
+                    for x, y in zip(gathered, (window_hashes(h, WINDOW)[at], np.full(len(at), doc, np.int64), np.full(len(at), twin, np.int64), at)):
+                        x.append(y)
+                if held >= FLUSH_BYTES:
+                    yield out()
+                    gathered, held = [[], [], [], []], 0
         yield out()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, docs_, twins, ats = [np.empty(0, np.uint64)], [_NONE], [_NONE], [np.empty(0, np.uint32)]
+        parts: list[list] = [[], []]
         for b in batches:
-            for part in b.column(1).to_pylist():
-                raw = zstandard.decompress(part)
-                n = len(raw) // 28
-                hs.append(np.frombuffer(raw, np.uint64, n))
-                docs_.append(np.frombuffer(raw, np.int64, n, 8 * n))
-                twins.append(np.frombuffer(raw, np.int64, n, 16 * n))
-                ats.append(np.frombuffer(raw, np.uint32, n, 24 * n))
-        h, doc, twin, at = np.concatenate(hs), np.concatenate(docs_), np.concatenate(twins), np.concatenate(ats).astype(np.int64)
+            for removed, part in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                parts[removed].append(part)
+        h, doc, twin, at = _unpack(parts[0], True)
         order, later = _earliest(h, doc, twin, at)
         gone = order[later]
-        d, t, packed = _ranges(doc[gone], twin[gone], at[gone])
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(packed, pa.binary())], ["_doc", "_twin", "starts"])
+        homes, removed = _parts(_homes(doc[gone], twin[gone], shards), shards, doc[gone], twin[gone], at[gone])
+        here = [int(_homes(*x, shards)[0]) for x in ((d[:1], t[:1]) for d, t, _ in (_unpack([p], False) for p in parts[1]))]
+        yield pa.RecordBatch.from_arrays([pa.array([*homes, *here], pa.int64()), pa.array([*removed, *parts[1]], pa.binary())], ["home", "part"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_, twins, packed = _by_document(*_unpack([p for b in batches for p in b.column(1).to_pylist()], False))
+        yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(twins, pa.int64()), pa.array(packed, pa.binary())], ["_doc", "_twin", "starts"])
 
-    sent = cut(docs.select("_doc", "_twin", "text").mapInArrow(emit, "shard long, _doc long, _twin long, part binary"))
-    here = sent.where("shard < 0").select("_doc", "_twin", F.col("part").alias("starts"))
-    there = sent.where("shard >= 0").select("shard", "part").groupBy("shard").applyInArrow(group, "_doc long, _twin long, starts binary")
-    return here.unionByName(there)
+    sent = docs.select("_doc", "_twin", "text").mapInArrow(emit, "shard long, removed boolean, part binary")
+    found = sent.groupBy("shard").applyInArrow(group, "home long, part binary")
+    return found.groupBy("home").applyInArrow(gather, "_doc long, _twin long, starts binary")
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
@@ -249,16 +268,15 @@ def _key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """docs with _starts (list of packed starts of the windows to be removed; null if none)."""
+    """docs with _starts (packed starts of the windows to be removed; null if none)."""
     prepare(docs.sparkSession)
     marked = docs.withColumns(dict(zip(("_doc", "_twin"), _key(F.col("doc_id"), F.col("text")))))
-    found = repeated_windows(marked.select("_doc", "_twin", "text")).groupBy("_doc", "_twin").agg(F.collect_list("starts").alias("_starts"))
+    found = repeated_windows(marked.select("_doc", "_twin", "text")).withColumnRenamed("starts", "_starts")
     return marked.join(found, ["_doc", "_twin"], "left").select(*docs.columns, "_starts")
 
 
-def _mask(n: int, packed: list[bytes]) -> np.ndarray:
-    at = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(p), np.uint32), dtype=np.int64) for p in packed])
-    return cover(at, WINDOW, n)
+def _mask(n: int, packed: bytes) -> np.ndarray:
+    return cover(np.cumsum(np.frombuffer(zstandard.decompress(packed), np.uint32), dtype=np.int64), WINDOW, n)
 
 
 def report(docs: DataFrame) -> DataFrame:
