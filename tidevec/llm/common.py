@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch takes; texts are long, so batches stay at a few MB.
-BATCH_ROWS = 512
+#: Rows and bytes that one Arrow batch takes; texts are long, and some very long.
+BATCH_ROWS, BATCH_BYTES = 512, "32m"
 #: Rows up to which a table of ids or of sites is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's word cache (about 0.2 kB each).
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     shared_dir(spark)
 

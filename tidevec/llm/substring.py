@@ -162,17 +162,15 @@ def _by_document(doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[lis
     return docs, twins, packed
 
 
-def _parts(group: np.ndarray, groups: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _parts(group: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Groups that occur, and the packed columns of each. Documents are the last three columns: id, text hash, place."""
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(groups + 1))
-    found, packed = [], []
-    for k in range(groups):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            found.append(k)
-            packed.append(_pack(np.array([len(at)], np.int64), *(c[at].astype(np.uint32) if i == len(columns) - 1 else c[at] for i, c in enumerate(columns))))
-    return found, packed
+    found, starts = np.unique(group[order], return_index=True)
+    packed = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        at = order[a:b]
+        packed.append(_pack(np.array([b - a], np.int64), *(c[at].astype(np.uint32) if i == len(columns) - 1 else c[at] for i, c in enumerate(columns))))
+    return found.tolist(), packed
 
 
 def _unpack(parts: list[bytes], hashed: bool) -> tuple[np.ndarray, ...]:
@@ -218,10 +216,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             h, doc, twin, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(gathered, (np.uint64, np.int64, np.int64, np.int64)))
             order, later = _earliest(h, doc, twin, at)
             gone, stay = order[later], order[~later]
-            homes, removed = _parts(_homes(doc[gone], twin[gone], shards), shards, doc[gone], twin[gone], at[gone])
+            homes, removed = _parts(_homes(doc[gone], twin[gone], shards), doc[gone], twin[gone], at[gone])
             # Rows of one (id, text) may be there twice; one place is sent once.
             stay = stay[np.concatenate(([True], h[stay][1:] != h[stay][:-1]))] if len(stay) else stay
-            of, sent = _parts(_groups(h[stay], shards), shards, h[stay], doc[stay], twin[stay], at[stay])
+            of, sent = _parts(_groups(h[stay], shards), h[stay], doc[stay], twin[stay], at[stay])
             return pa.RecordBatch.from_arrays([pa.array([*homes, *of], pa.int64()), pa.array([True] * len(homes) + [False] * len(of), pa.bool_()), pa.array([*removed, *sent], pa.binary())], ["shard", "removed", "part"])
 
         for b in batches:
@@ -250,7 +248,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         h, doc, twin, at = _unpack(parts[0], True)
         order, later = _earliest(h, doc, twin, at)
         gone = order[later]
-        homes, removed = _parts(_homes(doc[gone], twin[gone], shards), shards, doc[gone], twin[gone], at[gone])
+        homes, removed = _parts(_homes(doc[gone], twin[gone], shards), doc[gone], twin[gone], at[gone])
         here = [int(_homes(*x, shards)[0]) for x in ((d[:1], t[:1]) for d, t, _ in (_unpack([p], False) for p in parts[1]))]
         yield pa.RecordBatch.from_arrays([pa.array([*homes, *here], pa.int64()), pa.array([*removed, *parts[1]], pa.binary())], ["home", "part"])
 
