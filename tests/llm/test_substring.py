@@ -3,6 +3,7 @@ import hashlib
 import pyarrow.parquet as pq
 from cases import SCHEMA, odd_documents
 
+from tidevec.llm import substring
 from tidevec.llm.substring import drop_repeats, report
 
 DATA = "/root/testdata/sf0.001"
@@ -45,5 +46,20 @@ def test_table(spark):
     assert got(report(spark.read.parquet(f"{DATA}/documents.parquet"))) == brute([(r["doc_id"], r["text"]) for r in t])
 
 
+def test_anchors_beyond_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(substring, "MOST_BITS", 0)
+    t = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    assert got(report(spark.read.parquet(f"{DATA}/documents.parquet"))) == brute([(r["doc_id"], r["text"]) for r in t])
+    rows = odd_documents()
+    assert got(report(spark.createDataFrame(rows, SCHEMA))) == brute([r[:2] for r in rows])
+
+
+def test_many_ranges(spark, monkeypatch):
+    """Many small partitions and ranges give the same as few large ones."""
+    monkeypatch.setattr(substring, "GROUP_WINDOWS", 50)
+    t = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    assert got(report(spark.read.parquet(f"{DATA}/documents.parquet").repartition(16))) == brute([(r["doc_id"], r["text"]) for r in t])
+
+
 def test_empty(spark):
     assert report(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from tidevec.llm.common import WORDS, as_bytes, cover, cut, mix, prepare, runs,
 
 WINDOW, ANCHOR = 20, 10
 DEPTH = 2
-#: Cells of a sketch row for each expected anchor, and bounds of a row as powers of two. The largest row
-#: is 64 MB of bits for each process; beyond it more windows pass the filter, and none is lost.
+#: Cells of a sketch row for each expected anchor, and bounds of a row as powers of two: the largest is
+#: 64 MB of bits for each process.
 CELLS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 8, 20, 29
 #: Ranges that a sketch row is merged in.
 RANGES = 64
@@ -195,46 +195,40 @@ def _homes(doc: np.ndarray, twin: np.ndarray, groups: int) -> np.ndarray:
     return _groups(mix(doc.view(np.uint64) ^ mix(twin.view(np.uint64))), groups)
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """_doc, _twin, starts: a row for each document that has windows to be removed, with their packed starts.
+def _split(h: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows found: those later than the first of their hash, or all whose hash has two places or more; and the first row of each hash."""
+    order, later = _earliest(h, doc, twin, at)
+    start = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, bool)
+    if not later_only and len(h):
+        of = np.cumsum(start) - 1
+        later = (np.bincount(of, later) > 0)[of]
+    return order[later], order[start]
+
+
+def _located(docs: DataFrame, spread: Callable, shards: int, later_only: bool) -> DataFrame:
+    """_doc, _twin, starts: for each document the packed places whose hash is found as _split says.
 
-    docs has _doc (doc_id, least long for null), _twin (hash of the text) and text.
+    spread gives, for a batch of docs, document id, text hash, bytes, and hashes and places of each
+    document. A task settles what its own rows tell and sends one row of each hash to the task of the
+    hash's range; what is found goes to the task of the document's range.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, size / 6 / 6 * CELLS_PER_ANCHOR))), LEAST_BITS, MOST_BITS))
-    sketch, windows = build_sketch(docs, bits)
-    shards = max(8, -(-windows // (4 * GROUP_WINDOWS)))
-    table = spark.sparkContext.broadcast(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = table.value
         gathered: list[list] = [[], [], [], []]
         held = 0
 
         def out() -> pa.RecordBatch:
             h, doc, twin, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(gathered, (np.uint64, np.int64, np.int64, np.int64)))
-            order, later = _earliest(h, doc, twin, at)
-            gone, stay = order[later], order[~later]
-            homes, removed = _parts(_homes(doc[gone], twin[gone], shards), doc[gone], twin[gone], at[gone])
-            # Rows of one (id, text) may be there twice; one place is sent once.
-            stay = stay[np.concatenate(([True], h[stay][1:] != h[stay][:-1]))] if len(stay) else stay
-            of, sent = _parts(_groups(h[stay], shards), h[stay], doc[stay], twin[stay], at[stay])
-            return pa.RecordBatch.from_arrays([pa.array([*homes, *of], pa.int64()), pa.array([True] * len(homes) + [False] * len(of), pa.bool_()), pa.array([*removed, *sent], pa.binary())], ["shard", "removed", "part"])
+            here, first = _split(h, doc, twin, at, later_only)
+            homes, found = _parts(_homes(doc[here], twin[here], shards), doc[here], twin[here], at[here])
+            of, sent = _parts(_groups(h[first], shards), h[first], doc[first], twin[first], at[first])
+            return pa.RecordBatch.from_arrays([pa.array([*homes, *of], pa.int64()), pa.array([True] * len(homes) + [False] * len(of), pa.bool_()), pa.array([*found, *sent], pa.binary())], ["shard", "found", "part"])
 
         for b in batches:
-            for doc, twin, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
-                words = text.split() if text else ()
-                if len(words) < WINDOW:
-                    continue
-                held += len(text)
-                h = WORDS.array(words)
-                at, g = anchors(h)
-                place = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                at = np.flatnonzero(np.repeat(repeated(g[at[place]], full, bits), np.diff(place, append=len(at))))
-                if len(at):
-                    for x, y in zip(gathered, (window_hashes(h, WINDOW)[at], np.full(len(at), doc, np.int64), np.full(len(at), twin, np.int64), at)):
-                        x.append(y)
+            for doc, twin, size, h, at in spread(b):
+                held += size
+                for x, y in zip(gathered, (h, np.full(len(at), doc, np.int64), np.full(len(at), twin, np.int64), at)):
+                    x.append(y)
                 if held >= FLUSH_BYTES:
                     yield out()
                     gathered, held = [[], [], [], []], 0
@@ -243,24 +237,79 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list] = [[], []]
         for b in batches:
-            for removed, part in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts[removed].append(part)
+            for found, part in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                parts[found].append(part)
         h, doc, twin, at = _unpack(parts[0], True)
-        order, later = _earliest(h, doc, twin, at)
-        gone = order[later]
-        homes, removed = _parts(_homes(doc[gone], twin[gone], shards), doc[gone], twin[gone], at[gone])
-        here = [int(_homes(*x, shards)[0]) for x in ((d[:1], t[:1]) for d, t, _ in (_unpack([p], False) for p in parts[1]))]
-        yield pa.RecordBatch.from_arrays([pa.array([*homes, *here], pa.int64()), pa.array([*removed, *parts[1]], pa.binary())], ["home", "part"])
+        here, _ = _split(h, doc, twin, at, later_only)
+        homes, found = _parts(_homes(doc[here], twin[here], shards), doc[here], twin[here], at[here])
+        passed = [int(_homes(*x, shards)[0]) for x in ((d[:1], t[:1]) for d, t, _ in (_unpack([p], False) for p in parts[1]))]
+        yield pa.RecordBatch.from_arrays([pa.array([*homes, *passed], pa.int64()), pa.array([*found, *parts[1]], pa.binary())], ["home", "part"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_, twins, packed = _by_document(*_unpack([p for b in batches for p in b.column(1).to_pylist()], False))
         yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(twins, pa.int64()), pa.array(packed, pa.binary())], ["_doc", "_twin", "starts"])
 
-    sent = docs.select("_doc", "_twin", "text").mapInArrow(emit, "shard long, removed boolean, part binary")
+    sent = docs.mapInArrow(emit, "shard long, found boolean, part binary")
     found = sent.groupBy("shard").applyInArrow(group, "home long, part binary")
     return found.groupBy("home").applyInArrow(gather, "_doc long, _twin long, starts binary")
 
 
+def _long_enough(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Row, document id, text hash, bytes and word hashes of the texts of a batch that have a window."""
+    for j, (doc, twin, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)))):
+        words = text.split() if text else ()
+        if len(words) >= WINDOW:
+            yield j, doc, twin, len(text), WORDS.array(words)
+
+
+def _windows(h: np.ndarray, at: np.ndarray, place: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the windows whose anchor, by first window of each anchor, is ok."""
+    starts = np.flatnonzero(np.repeat(ok, np.diff(place, append=len(at))))
+    return window_hashes(h, WINDOW)[starts], starts
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """_doc, _twin, starts: a row for each document that has windows to be removed, with their packed starts.
+
+    docs has _doc (doc_id, least long for null), _twin (hash of the text) and text. If a sketch of bounded
+    size would be too full to tell anchors apart, they are grouped exactly instead, and only documents with
+    a repeated anchor are read on; the result is the same.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("_doc", "_twin", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = int(np.ceil(np.log2(max(1, size / 6 / 6 * CELLS_PER_ANCHOR))))
+    if wanted <= MOST_BITS:
+        bits = max(wanted, LEAST_BITS)
+        sketch, windows = build_sketch(docs, bits)
+        table = spark.sparkContext.broadcast(sketch)
+
+        def by_sketch(b: pa.RecordBatch) -> Iterator[tuple]:
+            for _, doc, twin, n, h in _long_enough(b):
+                at, g = anchors(h)
+                place = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                yield doc, twin, n, *_windows(h, at, place, repeated(g[at[place]], table.value, bits))
+
+        return _located(docs, by_sketch, max(8, -(-windows // (4 * GROUP_WINDOWS))), True)
+
+    def all_anchors(b: pa.RecordBatch) -> Iterator[tuple]:
+        for _, doc, twin, n, h in _long_enough(b):
+            at, g = anchors(h)
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+            yield doc, twin, n, g[at], at
+
+    def by_places(b: pa.RecordBatch) -> Iterator[tuple]:
+        places = b.column(3).to_pylist()
+        for j, doc, twin, n, h in _long_enough(b):
+            at, _ = anchors(h)
+            place = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            yield doc, twin, n, *_windows(h, at, place, np.isin(at[place], _places(places[j])))
+
+    shards = max(8, -(-size // (6 * 4 * GROUP_WINDOWS)))
+    read_on = docs.join(_located(docs, all_anchors, shards, False), ["_doc", "_twin"]).select("_doc", "_twin", "text", "starts")
+    return _located(read_on, by_places, shards, True)
+
+
 def _key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id, F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(text).alias("_twin")]
 
@@ -273,8 +322,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     return marked.join(found, ["_doc", "_twin"], "left").select(*docs.columns, "_starts")
 
 
+def _places(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), np.uint32), dtype=np.int64)
+
+
 def _mask(n: int, packed: bytes) -> np.ndarray:
-    return cover(np.cumsum(np.frombuffer(zstandard.decompress(packed), np.uint32), dtype=np.int64), WINDOW, n)
+    return cover(_places(packed), WINDOW, n)
 
 
 def report(docs: DataFrame) -> DataFrame:
