@@ -24,7 +24,7 @@ from tidevec.llm.common import as_bytes, is_training, prepare
 #: learned, and bytes of a document (longer ones are not learned from, but predicted like all others).
 TRAINING_DOCS, DOCS_PER_LANGUAGE, MOST_LANGUAGES, TRAINING_BYTES = 8_000, 1_000, 200, 65_536
 BUCKETS, DIMENSIONS, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
-EPOCHS, RATE, BATCH = 4, 0.5, 32
+EPOCHS, RATE = 4, 0.5
 #: Bytes that are hashed at once, which bounds memory for long texts.
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -35,11 +35,11 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def subwords(text: bytes) -> Iterator[np.ndarray]:
-    """Buckets of the text's n-grams, slice by slice; a slice reads into the next as far as its grams do."""
-    for i in range(0, len(text), SLICE_BYTES):
-        b = _PLAIN[np.frombuffer(text, np.uint8)[max(0, i - GRAMS[-1] + 1) : i + SLICE_BYTES]]
-        if i == 0:
-            b = np.concatenate((np.full(1, 32, np.uint32), b, np.full(1, 32, np.uint32)))
+    """Buckets of the text's n-grams, with a gap at both ends; a slice reads back as far as its grams do."""
+    raw, gap, back = np.frombuffer(text, np.uint8), np.full(1, 32, np.uint32), GRAMS[-1] - 1
+    for i in range(0, len(raw), SLICE_BYTES):
+        own = max(0, i - back)
+        b = np.concatenate(([] if i else gap, _PLAIN[raw[own : i + SLICE_BYTES]], gap if i + SLICE_BYTES >= len(raw) else [])).astype(np.uint32)
         h = np.zeros(len(b), np.uint32)
         for n in range(1, GRAMS[-1] + 1):
             if len(b) < n:
@@ -47,7 +47,8 @@ def subwords(text: bytes) -> Iterator[np.ndarray]:
             h = (h[: len(b) - n + 1] + b[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
             if n in GRAMS:
-                yield ((h * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.int64)
+                # What ended before the slice was counted in the one before.
+                yield ((h[max(0, i - own - n + 1) if i else 0 :] * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.int64)
 
 
 @dataclass
