@@ -42,9 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once and kept in the shared folder.
+
+    A checkpoint hands on what the plan implies about its columns. Over the rounds of a loop these
+    constraints multiply until planning takes longer than the work, so they are left out here.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
