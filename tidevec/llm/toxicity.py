@@ -8,7 +8,8 @@ a bounded sample. The same sentence scores then locate offending sentences.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,20 +22,21 @@ from tidevec.llm.common import is_training, maybe_broadcast, prepare
 
 #: Bounds of the training sample: labelled documents, by hash of the id, and bytes of one of them (longer
 #: ones are not learned from, but scored like all others).
-TRAINING_DOCS, TRAINING_BYTES = 8_000, 65_536
+TRAINING_DOCS, TRAINING_BYTES = 6_000, 65_536
 STEMS = (4, 5, 6, 7, 8)
 #: Features are those in at least this share of the training documents; the model keeps the heaviest.
-LEAST_SHARE, MOST_FEATURES = 0.006, 200_000
+LEAST_SHARE, MOST_FEATURES, COUNT_BITS = 0.006, 200_000, 22
 #: The bias begins low and moves slowly: most sentences offend nobody.
 EPOCHS, RATE, BIAS, DECAY = 6, 0.3, -4.0, 1e-2
-WORD_ENTRIES, LONGEST_KEPT = 400_000, 48
+WORD_ENTRIES, LONGEST_KEPT = 200_000, 48
 
 WORD, END = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]+")
 
 
-def features(word: str) -> list[str]:
-    """A word itself and its beginnings, which inflected forms have in common."""
-    return [word, *(word[:n] + "-" for n in STEMS if n < len(word))]
+def features(word: str) -> list[int]:
+    """Codes of a word itself and of its beginnings, which inflected forms have in common."""
+    w = word.encode("utf-8", "replace")
+    return [zlib.crc32(w), *(zlib.crc32(word[:n].encode("utf-8", "replace") + b"-") for n in STEMS if n < len(word))]
 
 
 def sentences(text: str) -> Iterator[set[str]]:
@@ -51,7 +53,7 @@ def noisy_or(z: np.ndarray) -> float:
 
 @dataclass
 class Model:
-    weights: dict[str, float]  # by feature
+    weights: dict[int, float]  # by code
     bias: float
 
 
@@ -64,11 +66,7 @@ class WordWeights(dict):
 
     def __missing__(self, word: str) -> float:
         get = self.feature
-        v = get(word, 0.0)
-        for n in STEMS:
-            if n >= len(word):
-                break
-            v += get(word[:n] + "-", 0.0)
+        v = sum(get(x, 0.0) for x in features(word))
         if len(word) <= LONGEST_KEPT and len(self) < WORD_ENTRIES:
             self[word] = v
         return v
@@ -81,22 +79,23 @@ def sentence_logits(text: str, weight: WordWeights) -> np.ndarray:
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     """Fit weights and bias by AdaGrad on the noisy-or likelihood of document labels."""
-    split = [list(sentences(t)) for t in texts]
-    common = Counter()
-    for doc in split:
-        common.update({f for s in doc for w in s for f in features(w)})
-    index = {f: i for i, f in enumerate(sorted(f for f, n in common.items() if n >= max(2, LEAST_SHARE * len(texts))))}
-    known: dict[str, list[int]] = {}
+    # Documents of a feature are counted by the low bits of its code: none that is common is missed.
+    seen_in = np.zeros(1 << COUNT_BITS, np.uint16)
+    for text in texts:
+        seen_in[np.unique(np.array([x for s in sentences(text) for word in s for x in features(word)], np.int64) & (len(seen_in) - 1))] += 1
+    common = (seen_in >= max(2, LEAST_SHARE * len(texts))).astype(np.uint8).tobytes()
+    index: dict[int, int] = {}
     bags = []
-    for doc in split:
-        at, of = [], []
-        for k, s in enumerate(doc):
+    for text in texts:
+        at, of, n = array("i"), array("i"), 0
+        for s in sentences(text):
             for word in sorted(s):
-                if word not in known:
-                    known[word] = [index[f] for f in features(word) if f in index]
-                at += known[word]
-                of += [k] * len(known[word])
-        bags.append((np.array(at, np.int64), np.array(of, np.int64), len(doc)))
+                for x in features(word):
+                    if common[x & (len(common) - 1)]:
+                        at.append(index.setdefault(x, len(index)))
+                        of.append(n)
+            n += 1
+        bags.append((np.array(at, np.int32), np.array(of, np.int32), n))
     w, seen, bias, seen_bias = np.zeros(len(index)), np.full(len(index), 1e-2), BIAS, 1.0
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -115,9 +114,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             d = g.sum()
             seen_bias += d * d
             bias -= 0.1 * RATE * d / np.sqrt(seen_bias)
-    names = list(index)
+    codes = list(index)
     kept = np.argsort(-np.abs(w), kind="stable")[:MOST_FEATURES]
-    return Model({names[i]: float(w[i]) for i in kept.tolist() if abs(w[i]) > 1e-3}, float(bias))
+    return Model({codes[i]: float(w[i]) for i in kept.tolist() if abs(w[i]) > 1e-3}, float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
