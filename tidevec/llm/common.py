@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, "32m"
 #: Rows up to which a table of ids or of sites is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Python workers live on from stage to stage; so they give freed memory back at once.
+WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Entries of a worker's word cache (about 0.2 kB each).
 CACHE_ENTRIES = 150_000
 
@@ -23,9 +25,10 @@ CACHE_ENTRIES = 150_000
 def prepare(spark: SparkSession) -> None:
     """Settings that every operator relies on: small Arrow batches, importable workers, a checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    env |= WORKER_ENVIRONMENT
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     shared_dir(spark)
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidevec.llm.common import WORDS, as_bytes, cover, cut, prepare, runs, window_hashes
 
@@ -97,21 +98,23 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _mask (packed bits, a bit for each word; null if no word is hit) and _items (names of items with occurring windows).
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish: Callable, schema: str | StructType) -> DataFrame:
+    """finish(batch of docs, masks, items) of every batch, after all windows have been looked for.
 
-    A null text has no words. Benchmark rows with a null id or text are left out. Each block of the
-    benchmark is one pass over docs; what a pass found is kept in the shared folder for the next.
+    masks: packed bits, a bit for each word, null if no word is hit; items: sorted names of the items with
+    occurring windows. A null text has no words. Benchmark rows with a null id or text are left out. Each
+    block of the benchmark is one pass over docs; what a pass found is kept in the shared folder for the next.
     """
     spark = docs.sparkSession
     prepare(spark)
     parts = _blocks(benchmark, block_bytes)
+    text_at = docs.columns.index("text")
     out = docs.withColumns({"_mask": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
     for i, part in enumerate(parts):
         table = spark.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in part.collect()], window))
-        text_at, schema = docs.columns.index("text"), out.schema
+        last = i + 1 == len(parts)
 
-        def run(batches: Iterator[pa.RecordBatch], table=table, text_at=text_at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], table=table, last=last) -> Iterator[pa.RecordBatch]:
             windows = table.value
             for b in batches:
                 masks, names = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
@@ -121,11 +124,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                         if masks[j] is not None:
                             mask |= np.unpackbits(np.frombuffer(masks[j], np.uint8), count=len(mask)).astype(bool)
                         masks[j], names[j] = np.packbits(mask).tobytes(), sorted(found | set(names[j] or ()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(masks, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=b.schema.names)
+                columns, fields = b.columns[:-2], b.schema.names
+                if last:
+                    yield finish(pa.RecordBatch.from_arrays(columns, names=fields[:-2]), masks, names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=fields)
 
-        out = out.mapInArrow(run, schema)
-        if i + 1 < len(parts):
-            out = cut(out)
+        out = out.mapInArrow(run, schema) if last else cut(out.mapInArrow(run, out.schema))
     return out
 
 
@@ -135,19 +140,18 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: in
     Null or empty texts have 0 words and no items (the digest of no items is that of the empty string).
     Repeated rows and null ids give a row each; other columns of docs are not read.
     """
-    found = find_hits(docs.select("doc_id", "text"), benchmark, window, block_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [len(normal_words(x)) for x in as_bytes(b.column(1))]
-            hit = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in b.column(2).to_pylist()]
-            items = [x or [] for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([len(x) >= min_items for x in items])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    def finish(b: pa.RecordBatch, masks: list, names: list) -> pa.RecordBatch:
+        words = [len(normal_words(x)) for x in as_bytes(b.column(1))]
+        hit = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in masks]
+        items = [x or [] for x in names]
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array([len(x) >= min_items for x in items], pa.bool_())],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _scan(docs.select("doc_id", "text"), benchmark, window, block_bytes, finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -155,21 +159,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, win
 
     A document whose words are all hit goes as well. Untouched rows come back as they are, nulls included.
     """
-    found = find_hits(docs, benchmark, window, block_bytes)
-    text_at, schema = docs.columns.index("text"), docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, keep = b.column(text_at).to_pylist(), []
-            for j, (m, items) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
-                keep.append(len(items or ()) < min_items)
-                if m is not None and keep[-1]:
-                    raw = texts[j].encode()
-                    mask = np.unpackbits(np.frombuffer(m, np.uint8), count=len(normal_words(raw))).astype(bool)
-                    texts[j] = without_spans(raw, mask)
-                    keep[-1] = not mask.all()
-            columns = [*b.columns[:-2]]
-            columns[text_at] = pa.array(texts, b.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(run, schema)
+    text_at = docs.columns.index("text")
+
+    def finish(b: pa.RecordBatch, masks: list, names: list) -> pa.RecordBatch:
+        texts, keep = b.column(text_at).to_pylist(), []
+        for j, (m, items) in enumerate(zip(masks, names)):
+            keep.append(len(items or ()) < min_items)
+            if m is not None and keep[-1]:
+                raw = texts[j].encode()
+                mask = np.unpackbits(np.frombuffer(m, np.uint8), count=len(normal_words(raw))).astype(bool)
+                texts[j] = without_spans(raw, mask)
+                keep[-1] = not mask.all()
+        columns = [*b.columns]
+        columns[text_at] = pa.array(texts, b.schema.field(text_at).type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scan(docs, benchmark, window, block_bytes, finish, docs.schema)

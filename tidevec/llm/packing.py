@@ -8,6 +8,7 @@ Pieces are then matched to planned places by their rank among pieces of equal le
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -25,7 +26,7 @@ from tidevec.llm.token_counts import load_tokenizer
 
 CAPACITY, END_ID = 1024, 2
 #: Entries of a worker's cache of chunks, for each of two kinds.
-CHUNK_ENTRIES, LONGEST_KEPT = 300_000, 64
+CHUNK_ENTRIES, LONGEST_KEPT = 150_000, 64
 #: Parts that pieces of one length are ranked in, so that a common length is no single task.
 BUCKETS = 64
 #: Exchanges after which the local search ends (each is applied to all bins of equal contents at once), and
@@ -59,9 +60,10 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks_path: str | None):
-        self.library = load_tokenizer(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.fast = None
+        # The library's tokenizer takes over 100 MB; most workers never need it.
+        self.path, self.fast = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -72,7 +74,7 @@ class Encoder:
         self.first, self.after_space, self.feed = Chunks(self.ids, ""), Chunks(self.ids, " "), np.array(self.ids("\n"), "<u4").tobytes()
 
     def slow(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return load_tokenizer(self.path).encode(text, add_special_tokens=False).ids
 
     def ids(self, chunk: str) -> list[int]:
         if not chunk:
