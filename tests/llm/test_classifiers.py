@@ -78,3 +78,32 @@ def test_toxicity_odd(spark, model):
     assert len(toxicity.score(df, model).collect()) == len(odd_documents())
     empty = spark.createDataFrame([], SCHEMA)
     assert toxicity.score(empty, toxicity.fit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).collect() == []
+
+
+def test_long_clean_texts_stay_clean(spark, model):
+    label = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist()
+    clean = [d["text"] for d in docs if d["text"] and d["lang"] == "en" and held(d["doc_id"]) and label.get(d["doc_id"]) == 0]
+    sizes = [sum(1 for _ in toxicity.sentences(t)) for t in clean]
+    rows = []
+    for i, least in enumerate([500, 500, 2_000, 5_000, 20_000]):
+        parts, n, k = [], 0, 37 * i
+        while n < least:
+            parts.append(clean[k % len(clean)])
+            n += sizes[k % len(clean)]
+            k += 1
+        rows.append((i, "\n".join(parts)))
+    rows.append((5, rows[2][1] + "\nYou are a stupid idiot and a worthless clown!\n" + rows[2][1]))
+    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert out[4].n_sentences >= 20_000
+    assert [out[i].predicted for i in range(6)] == [0, 0, 0, 0, 0, 1]
+
+
+def test_long_labelled_documents_are_learned(spark):
+    plain = " ".join(f"This is harmless sentence number {'abcdefghij'[i % 10]}." for i in range(2_000))
+    bad = plain + " You grumbling vermicious blatherskite!"
+    assert len(plain) > 65_536
+    docs = spark.createDataFrame([(i, bad if i % 2 else plain) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    weights = toxicity.WordWeights(toxicity.fit(docs, labels))
+    assert weights["blatherskite"] > 1 > weights["harmless"]
