@@ -107,3 +107,10 @@ def test_long_labelled_documents_are_learned(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
     weights = toxicity.WordWeights(toxicity.fit(docs, labels))
     assert weights["blatherskite"] > 1 > weights["harmless"]
+
+
+def test_recall_of_held_out_toxic_documents(spark, model):
+    label = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
+    out = toxicity.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), model).collect()
+    toxic = [r.predicted for r in out if r.held_out and label.get(r.doc_id) == 1]
+    assert sum(toxic) >= 0.78 * len(toxic)
