@@ -73,3 +73,14 @@ def test_odd_documents(spark):
     assert quality.keep_good(df, none).count() == len(odd_documents())
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.classify(empty, none).collect() == [] and quality.keep_good(empty, none).collect() == []
+
+
+def test_pages_of_a_host_share_its_rate(spark):
+    from tidevec.llm.quality_rules import apply_rules
+
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, "few words" if i % 2 else good, f"https://{'bad' if i % 2 else 'good'}.example/page/{i}?x=1#y") for i in range(40)]
+    rows += [(40, good, "bad.example"), (41, good, None), (42, good, "")]
+    out = {r.doc_id: r.host_fail_rate for r in apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len({out[i] for i in range(1, 40, 2)} | {out[40]}) == 1 and len({out[i] for i in range(0, 40, 2)}) == 1
+    assert out[40] > 0.7 and out[0] < 0.3

@@ -27,13 +27,18 @@ def _repeat_words(k: int) -> Column:
     return F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: F.when(same(i, i - 1) | same(i, i + 1), F.get("_sorted", i)["i"])), lambda i: i.isNotNull()))
 
 
+def host(source: Column) -> Column:
+    """Up to the first slash, after a scheme, as in quality.site(); null for null."""
+    return F.regexp_extract(source.cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)", 1)
+
+
 def text_counts(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
     """docs' doc_id, _host and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
 
     Words are runs of other than the six ASCII white space characters; a null text has none.
     """
     k = window
-    t = docs.select("doc_id", F.col("source").cast("string").alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t = docs.select("doc_id", host(F.col("source")).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     t = t.withColumn("_trim", F.btrim("_t", F.lit(SPACE)))
     t = t.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", "[ \\t-\\r]+")))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
