@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch takes; texts are long, and some very long.
 BATCH_ROWS, BATCH_BYTES = 512, "32m"
-#: Rows up to which a table of ids or of sites is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table of ids or of sites is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64_000_000
 #: Python workers live on from stage to stage; so they give freed memory back at once.
 WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Entries of a worker's word cache (about 0.2 kB each).
@@ -23,7 +24,10 @@ CACHE_ENTRIES = 150_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings that every operator relies on: small Arrow batches, importable workers, a checkpoint folder."""
+    """Settings that every operator relies on: small Arrow batches, importable workers, a checkpoint folder.
+
+    They stay set in the session: results are lazy and need them when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -34,10 +38,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, on one machine else one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints", "tidevec")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -45,25 +51,78 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder.
+    """The same rows, computed once and checkpointed: for tables that a lazy result still reads."""
+    prepare(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    A checkpoint hands on what the plan implies about its columns. Over the rounds of a loop these
-    constraints multiply until planning takes longer than the work, so they are left out here.
-    """
-    spark = df.sparkSession
-    prepare(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+
+class Scratch:
+    """Tables written to a folder of their own in the shared one, for steps whose results nothing lazy reads."""
+
+    def __init__(self, spark: SparkSession):
+        prepare(spark)
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/tidevec-{uuid.uuid4()}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, written once and read back."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def part(self, kept: DataFrame, *names: str) -> DataFrame:
+        """Some columns of a table that keep() gave, in its place."""
+        path, _ = self.paths.pop(id(kept))
+        selected = kept.select(*names)
+        self.paths[id(selected)] = (path, selected)
+        return selected
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that keep() gave."""
+        for t in tables:
+            delete(self.spark, self.paths.pop(id(t))[0])
+
+    def close(self) -> None:
+        """Delete all that is left."""
+        self.paths.clear()
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store the path names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if rows of row_bytes take no more than BROADCAST_BYTES; beyond that the join shuffles."""
+    return F.broadcast(df) if rows * (row_bytes + 32) <= BROADCAST_BYTES else df
+
+
+def place_of(docs: DataFrame, name: str) -> int:
+    """Place of the column called name; of several that differ in case only, the one written alike."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for i, c in enumerate(docs.columns):
+            if same(c):
+                return i
+    raise ValueError(f"there is no column {name}")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ...: no working column (named _...) clashes with them, whatever they were called."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def only(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, under these names; others, of whatever name, are not read."""
+    plain = numbered(docs)
+    return plain.select(*(F.col(f"c{place_of(docs, n)}").alias(n) for n in names))
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows; beyond that the join shuffles."""
-    return F.broadcast(df) if rows <= most else df
+def type_of(docs: DataFrame, name: str) -> str:
+    """The type of a column as in a schema string."""
+    return docs.schema[place_of(docs, name)].dataType.simpleString()
 
 
 def is_training(doc_id: Column) -> Column:
@@ -88,12 +147,12 @@ class WordHash(dict):
 WORDS = WordHash()
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of k consecutive word hashes, in order of the run's start."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, seed, np.uint64)
     for j in range(k):
         out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= h[j : j + n]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import BROADCAST_ROWS, as_bytes, cut, is_training, maybe_broadcast, prepare
+from tidevec.llm.common import BROADCAST_BYTES, as_bytes, cut, is_training, maybe_broadcast, prepare
 
 #: Bound of the training sample: labelled documents, by hash of the id. Only their counts are collected.
 TRAINING_DOCS = 20_000
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(is_training(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = int(min(1.0, TRAINING_DOCS / max(1, known.count())) * 1_000_000) + 1
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = _measure(docs.select("doc_id", "text").join(maybe_broadcast(chosen, TRAINING_DOCS), "doc_id"), "quality").collect()
+    rows = _measure(docs.select("doc_id", "text").join(maybe_broadcast(chosen, 2 * TRAINING_DOCS, 16), "doc_id"), "quality").collect()
     x, y = np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([float(r.quality == 1) for r in rows])
     order = np.lexsort((*x.T, y))
     return train(x[order], y[order])
@@ -145,7 +145,7 @@ def sites(scores: DataFrame) -> tuple[DataFrame, float, float]:
 def with_sites(rows: DataFrame, table: DataFrame, salted_by: Column) -> DataFrame:
     """rows with their site's sums: by broadcast up to BROADCAST_ROWS sites, beyond by a salted join."""
     table = table.drop("_host")
-    if table.count() <= BROADCAST_ROWS:
+    if table.count() * 150 <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), "_path", "left")
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)).cast("int")).join(spread, ["_path", "_salt"], "left").drop("_salt")

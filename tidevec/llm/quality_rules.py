@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import BROADCAST_ROWS, cut
+from tidevec.llm.common import BROADCAST_BYTES, cut
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Salts of a host too common for one task, when hosts are too many to broadcast.
@@ -71,10 +71,10 @@ def host_rates(counts: DataFrame) -> DataFrame:
 
 
 def with_hosts(counts: DataFrame, hosts: DataFrame) -> DataFrame:
-    """counts with each host's columns; by broadcast up to BROADCAST_ROWS hosts, beyond by a salted join."""
+    """counts with each host's columns; by broadcast up to BROADCAST_BYTES, beyond by a salted join."""
     key = F.coalesce(F.concat(F.lit("="), "_host"), F.lit(""))
     counts, hosts = counts.withColumn("_key", key), hosts.select(key.alias("_key"), *(c for c in hosts.columns if c != "_host"))
-    if hosts.count() <= BROADCAST_ROWS:
+    if hosts.count() * 150 <= BROADCAST_BYTES:
         return counts.join(F.broadcast(hosts), "_key", "left")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

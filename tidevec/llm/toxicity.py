@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(is_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = int(min(1.0, TRAINING_DOCS / max(1, known.count())) * 1_000_000) + 1
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.where("text is not null").select("doc_id", "text").join(maybe_broadcast(chosen, TRAINING_DOCS), "doc_id")
+    rows = docs.where("text is not null").select("doc_id", "text").join(maybe_broadcast(chosen, 2 * TRAINING_DOCS, 16), "doc_id")
     sizes, taken, total = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("turn")).collect(), [], 0
     for r in sorted(sizes, key=lambda r: (r.turn, r.doc_id)):
         if total + r.size <= TRAINING_BYTES:

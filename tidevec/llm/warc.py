@@ -110,7 +110,7 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("_sha", F.sha1("html"))
     same = p.where(F.octet_length("html") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _last is not null").select("_sha", "_last")
     same = cut(same)
-    p = p.join(maybe_broadcast(same, same.count()), "_sha", "left")
+    p = p.join(maybe_broadcast(same, same.count(), 80), "_sha", "left")
     other = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return p.select("page_id", "url", "html", F.when(other, F.col("_last")).alias("refers_to"))
 
