@@ -100,6 +100,32 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * (row_bytes + 32) <= BROADCAST_BYTES else df
 
 
+#: Entries of a sieve (64 bits each), which bounds the table that join_few() broadcasts.
+SIEVE = 1 << 20
+
+
+def join_few(docs: DataFrame, few: DataFrame, on: list[str], how: str, rows: int, row_bytes: int) -> DataFrame:
+    """docs joined with few (distinct in on; how: inner, left or left_anti), most of docs not being in it.
+
+    A small table is broadcast. Beyond that a sieve of its keys is (at most SIEVE rows): what it lets through is
+    joined by shuffle, and the rest of docs, which few cannot hold, stays where it is.
+    """
+    if rows * (row_bytes + 32) <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(few), on, how)
+    entry, bit = F.pmod(F.xxhash64(*on), F.lit(SIEVE)), F.pmod(F.shiftright(F.xxhash64(*on), 32), F.lit(64)).cast("int")
+    keys = few.select(entry.alias("_entry"), bit.alias("_bit")).groupBy("_entry").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    marked = docs.withColumns({"_entry": entry, "_bit": bit}).join(F.broadcast(keys), "_entry", "left")
+    through = F.expr("coalesce(shiftright(_bits, _bit) & 1L, 0L) = 1L")
+    found = marked.where(through).select(*docs.columns).join(few, on, how)
+    if how == "inner":
+        return found
+    extra = [f.dataType for f in few.schema if f.name not in on] if how == "left" else []
+    rest = marked.where(~through).select(*docs.columns)
+    for name, kind in zip([c for c in few.columns if c not in on], extra):
+        rest = rest.withColumn(name, F.lit(None).cast(kind))
+    return found.unionByName(rest)
+
+
 def place_of(docs: DataFrame, name: str) -> int:
     """Place of the column called name; of several that differ in case only, the one written alike."""
     for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):

@@ -5,13 +5,14 @@ in a document of smaller doc_id, or before in the same document.
 
 1. Anchors. A window's anchor is the least-hash ANCHOR-word gram in it (the leftmost of equals). Equal
    windows have equal anchors at equal places, so a window is repeated only if its anchor gram is selected
-   at two places or more. Anchors are about a sixth of all grams.
-2. Sketch. Each partition counts its anchors in a count-min sketch (DEPTH rows, counts saturated at 2) and
-   sends it in sparse form, by range of cells; ranges are merged where they meet. Merged counts can only
-   be too high.
-3. Windows. A second pass sends, of each window whose anchor is estimated at two or more, the first
-   occurrence of each batch to the task of its hash range; there exact groups find the earliest occurrence
-   of each window. Later occurrences in the same batch are known to be removed at once.
+   at two places or more. Anchors are about a sixth of all grams; they are kept in the shared folder.
+2. Sketch. Each flush (some megabytes of text) counts its anchors in a count-min sketch of DEPTH rows and sends
+   it in sparse form, by range of cells. Ranges are merged where they meet, and each flush is told which of its
+   cells have a merged count of two or more: counts can only be too high. Ranges grow in number with the
+   corpus, so no task, and not the driver, ever holds the whole sketch.
+3. Windows. A second pass reads the documents with such anchors and sends, of each window of one, the first
+   occurrence of each flush to the task of its hash range; there exact groups (by 128 bits) find the earliest
+   occurrence of each window. Later occurrences in the same flush are known to be removed at once.
 4. What is to be removed goes to the task of its document's hash range and comes back as a row a document.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,17 +30,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import WORDS, as_bytes, cover, cut, mix, prepare, runs, window_hashes
+from tidevec.llm.common import WORDS, Scratch, as_bytes, cover, cut, join_few, mix, numbered, only, place_of, prepare, runs, type_of, window_hashes
 
 WINDOW, ANCHOR = 20, 10
-DEPTH = 2
-#: Cells of a sketch row for each expected anchor, and bounds of a row as powers of two: the largest is
-#: 64 MB of bits for each process.
-CELLS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 8, 20, 29
-#: Ranges that a sketch row is merged in.
-RANGES = 64
-#: Windows that one exact group is meant to hold.
-GROUP_WINDOWS = 500_000
+#: Rows of the sketch; anchors that one merge is meant to see, and cells of its range: about 32 for each, so one
+#: that occurs once is taken for repeated with probability (1/32)**2. Ranges are as many as the corpus needs.
+DEPTH, RANGE_ANCHORS, RANGE_CELLS, LEAST_RANGES = 2, 1_000_000, 1 << 25, 8
+#: Anchors of the corpus for each exact group of windows (few of them are repeated).
+GROUP_ANCHORS = 500_000
 #: Bytes of text after which a task sends what it has gathered.
 FLUSH_BYTES = 8_000_000
 
@@ -57,95 +56,124 @@ def anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[
     return at + np.arange(len(view)), g
 
 
-def cells(g: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """Cells of gram hashes in a row of 2**bits."""
-    return (mix(g + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def build_sketch(docs: DataFrame, bits: int) -> tuple[list[np.ndarray], int]:
-    """Bits (packed) of cells whose merged count is two or more, for each row; and the number of windows."""
-    width = (1 << bits) // RANGES
+def anchor_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """flush, n, docs, hashes, places: the anchors of about FLUSH_BYTES of text a row, of docs(_doc, _twin, text); kept in scratch.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, windows = [], 0, 0
-
-        def sketch() -> pa.RecordBatch:
-            g = np.concatenate([*grams, np.empty(0, np.uint64)])
-            rows, ranges, parts, seen = [], [], [], []
-            for row in range(DEPTH):
-                c, n = np.unique(cells(g, row, bits), return_counts=True)
-                ends = np.searchsorted(c, np.arange(RANGES + 1) * width)
-                for r in range(RANGES):
-                    a, b = ends[r], ends[r + 1]
-                    if b > a:
-                        rows.append(row)
-                        ranges.append(r)
-                        x = (c[a:b] - r * width).astype(np.uint32)
-                        parts.append(_pack(np.diff(x, prepend=np.uint32(0)), (n[a:b] > 1)))
-                        seen.append(0)
-            rows.append(-1)
-            ranges.append(0)
-            parts.append(b"")
-            seen.append(windows)
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(ranges, pa.int32()), pa.array(parts, pa.binary()), pa.array(seen, pa.int64())], ["row", "range", "part", "windows"])
+    docs: id, text hash and number of anchors of each document; hashes and places: those of all their anchors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            doc, twin = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+            n = np.array([len(r[2]) for r in rows], np.int64)
+            hashes, places = np.concatenate([np.empty(0, np.uint64), *(r[2] for r in rows)]), np.concatenate([_NONE, *(r[3] for r in rows)])
+            columns = [uuid.uuid4().bytes], [len(hashes)], [_pack(doc, twin, n)], [hashes.tobytes()], [_pack(np.diff(places, prepend=0).astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["flush", "n", "docs", "hashes", "places"])
 
         for b in batches:
-            for text in as_bytes(b.column(0)):
-                words = text.split() if text else ()
-                if len(words) >= WINDOW:
-                    at, g = anchors(WORDS.array(words))
-                    grams.append(g[at[np.concatenate(([True], at[1:] != at[:-1]))]])
-                    windows += len(at)
-                    held += len(text)
-            if held >= FLUSH_BYTES:
-                yield sketch()
-                grams, held, windows = [], 0, 0
-        yield sketch()
+            for _, doc, twin, size, h in _long_enough(b):
+                at, g = anchors(h)
+                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+                rows.append((doc, twin, g[at], at))
+                held += size
+                if held >= FLUSH_BYTES:
+                    yield out()
+                    rows, held = [], 0
+        if rows:
+            yield out()
+
+    return scratch.keep(docs.mapInArrow(run, "flush binary, n long, docs binary, hashes binary, places binary"))
+
+
+def _cells(hashes: bytes, row: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a flush, its distinct cells (range and cell in it, in order), how often each occurs, and each anchor's."""
+    x = mix(np.frombuffer(hashes, np.uint64) + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15))
+    cell = _groups(x, ranges) * RANGE_CELLS + (x & np.uint64(RANGE_CELLS - 1)).astype(np.int64)
+    found, of, n = np.unique(cell, return_inverse=True, return_counts=True)
+    return found, n, of
+
+
+def merged_sketches(store: DataFrame, ranges: int) -> DataFrame:
+    """flush, row, range, mask: for each cell that a flush has sent (in order), whether its count over all flushes is two or more.
+
+    A range of cells is merged in a task of its own, and told to the flushes that sent to it: nobody needs the whole.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for flush, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of, at, parts = [], [], []
+                for row in range(DEPTH):
+                    cell, n, _ = _cells(hashes, row, ranges)
+                    r = cell // RANGE_CELLS
+                    names, starts = np.unique(r, return_index=True)
+                    for k, x, y in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(r)]):
+                        of.append(row)
+                        at.append(k)
+                        parts.append(_pack(np.diff(cell[x:y] % RANGE_CELLS, prepend=0).astype(np.uint32), n[x:y] > 1))
+                yield pa.RecordBatch.from_arrays([pa.array([flush] * len(of), pa.binary()), pa.array(of, pa.int32()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], ["flush", "row", "range", "part"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint8)
-        key = None
+        t = pa.Table.from_batches(batches)
+        cells, counts, ends = [], [], [0]
+        for part in t.column("part").to_pylist():
+            raw = zstandard.decompress(part)
+            n = len(raw) // 5
+            cells.append(np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.uint32))
+            counts.append(1 + np.frombuffer(raw, np.uint8, n, 4 * n))
+            ends.append(ends[-1] + n)
+        _, of = np.unique(np.concatenate(cells), return_inverse=True)
+        many = (np.bincount(of, np.concatenate(counts)) >= 2)[of]
+        masks = [np.packbits(many[x:y]).tobytes() for x, y in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("flush", "row", "range")), pa.array(masks, pa.binary())], ["flush", "row", "range", "mask"])
+
+    sent = store.select("flush", "hashes").mapInArrow(count, "flush binary, row int, range long, part binary")
+    return sent.groupBy("row", "range").applyInArrow(merge, "flush binary, row int, range long, mask binary")
+
+
+def estimated(store: DataFrame, ranges: int) -> DataFrame:
+    """_doc, _twin, n, starts: a row for each document with anchors estimated to occur twice or more, and their packed places."""
+    masks = merged_sketches(store, ranges).groupBy("flush").agg(F.sort_array(F.collect_list(F.struct("row", "range", "mask"))).alias("masks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = (b.column(0)[0].as_py(), b.column(1)[0].as_py())
-            for part in b.column(2).to_pylist():
-                raw = zstandard.decompress(part)
-                n = len(raw) // 5
-                at = np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)
-                total[at] = np.minimum(2, total[at] + 1 + np.frombuffer(raw, np.uint8, n, 4 * n))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zstandard.compress(np.packbits(total > 1).tobytes(), 1)], pa.binary())], ["row", "range", "bits"])
-
-    sent = cut(docs.select("text").mapInArrow(count, "row int, range int, part binary, windows long"))
-    windows = sent.agg(F.sum("windows")).first()[0] or 0
-    merged = sent.where("row >= 0").select("row", "range", "part").groupBy("row", "range").applyInArrow(merge, "row int, range int, bits binary")
-    full = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r in merged.collect():
-        full[r["row"]][r["range"] * width // 8 : (r["range"] + 1) * width // 8] = np.frombuffer(zstandard.decompress(bytes(r["bits"])), np.uint8)
-    return full, windows
-
-
-def repeated(g: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.ndarray:
-    """Which gram hashes are estimated to occur twice or more."""
-    out = np.ones(len(g), bool)
-    for row, full in enumerate(sketch):
-        c = cells(g, row, bits)
-        out &= (full[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
-def _earliest(h: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by hash, then document (id, text hash) and place; and which in that order are not the first of their hash.
-
-    Equal (document, place) are the same place, given by repeated rows: none of them is later than the other.
+            for docs, hashes, places, masks in zip(*(c.to_pylist() for c in b.columns)):
+                raw, n = zstandard.decompress(docs), len(hashes) // 8
+                doc, twin, each = np.frombuffer(raw, np.int64).reshape(3, -1)
+                place = np.cumsum(np.frombuffer(zstandard.decompress(places), np.int32), dtype=np.int64)
+                ok = np.ones(n, bool)
+                for row in range(DEPTH):
+                    cell, _, of = _cells(hashes, row, ranges)
+                    sent = np.unique(cell // RANGE_CELLS, return_counts=True)[1]
+                    told = [np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=k) for m, k in zip((m for m in masks if m["row"] == row), sent.tolist(), strict=True)]
+                    ok &= np.concatenate(told).astype(bool)[of]
+                at = np.flatnonzero(ok)
+                found = _by_document(np.repeat(doc, each)[at], np.repeat(twin, each)[at], place[at])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.binary()))], ["_doc", "_twin", "starts"])
+
+    told = store.select("flush", "docs", "hashes", "places").join(masks, "flush").select("docs", "hashes", "places", "masks")
+    return told.mapInArrow(run, "_doc long, _twin long, starts binary").groupBy("_doc", "_twin").agg(F.first("starts").alias("starts"))
+
+
+def _earliest(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows later than the first of their window (both hashes), and the first row of each window.
+
+    First is the least document (id, text hash) and place. Equal (document, place) are the same place, given by
+    repeated rows: none of them is later than the other.
     """
-    order = np.lexsort((at, twin, doc, h))
-    h, doc, twin, at = h[order], doc[order], twin[order], at[order]
-    start = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
-    first = np.flatnonzero(start)[np.cumsum(start) - 1] if len(h) else _NONE
-    return order, (doc != doc[first]) | (twin != twin[first]) | (at != at[first])
+    if not len(h):
+        return _NONE, _NONE
+    order = np.lexsort((at, twin, doc, h2, h))
+    h, h2, doc, twin, at = h[order], h2[order], doc[order], twin[order], at[order]
+    start = np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])))
+    first = np.flatnonzero(start)[np.cumsum(start) - 1]
+    return order[(doc != doc[first]) | (twin != twin[first]) | (at != at[first])], order[start]
 
 
 def _by_document(doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
@@ -174,8 +202,8 @@ def _parts(group: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[byt
 
 
 def _unpack(parts: list[bytes], hashed: bool) -> tuple[np.ndarray, ...]:
-    """(window hash,) document id, text hash and place of all rows in parts."""
-    types = [*([np.uint64] if hashed else []), np.int64, np.int64, np.uint32]
+    """(both window hashes,) document id, text hash and place of all rows in parts."""
+    types = [*([np.uint64, np.uint64] if hashed else []), np.int64, np.int64, np.uint32]
     columns: list[list] = [[np.empty(0, t)] for t in types]
     for part in parts:
         raw = zstandard.decompress(part)
@@ -195,43 +223,33 @@ def _homes(doc: np.ndarray, twin: np.ndarray, groups: int) -> np.ndarray:
     return _groups(mix(doc.view(np.uint64) ^ mix(twin.view(np.uint64))), groups)
 
 
-def _split(h: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows found: those later than the first of their hash, or all whose hash has two places or more; and the first row of each hash."""
-    order, later = _earliest(h, doc, twin, at)
-    start = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, bool)
-    if not later_only and len(h):
-        of = np.cumsum(start) - 1
-        later = (np.bincount(of, later) > 0)[of]
-    return order[later], order[start]
-
+def _located(docs: DataFrame, spread: Callable, shards: int) -> DataFrame:
+    """_doc, _twin, starts: for each document the packed places of windows that occur earlier.
 
-def _located(docs: DataFrame, spread: Callable, shards: int, later_only: bool) -> DataFrame:
-    """_doc, _twin, starts: for each document the packed places whose hash is found as _split says.
-
-    spread gives, for a batch of docs, document id, text hash, bytes, and hashes and places of each
-    document. A task settles what its own rows tell and sends one row of each hash to the task of the
-    hash's range; what is found goes to the task of the document's range.
+    spread gives, for a batch of docs, document id, text hash, bytes, and both hashes and places of the windows
+    of each document. A task settles what its own rows tell and sends one row of each window to the task of
+    the hash's range, so a common window is no hot group; what is found goes to the task of the document's range.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[list] = [[], [], [], []]
+        gathered: list[list] = [[], [], [], [], []]
         held = 0
 
         def out() -> pa.RecordBatch:
-            h, doc, twin, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(gathered, (np.uint64, np.int64, np.int64, np.int64)))
-            here, first = _split(h, doc, twin, at, later_only)
+            h, h2, doc, twin, at = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(gathered, (np.uint64, np.uint64, np.int64, np.int64, np.int64)))
+            here, first = _earliest(h, h2, doc, twin, at)
             homes, found = _parts(_homes(doc[here], twin[here], shards), doc[here], twin[here], at[here])
-            of, sent = _parts(_groups(h[first], shards), h[first], doc[first], twin[first], at[first])
+            of, sent = _parts(_groups(h[first], shards), h[first], h2[first], doc[first], twin[first], at[first])
             return pa.RecordBatch.from_arrays([pa.array([*homes, *of], pa.int64()), pa.array([True] * len(homes) + [False] * len(of), pa.bool_()), pa.array([*found, *sent], pa.binary())], ["shard", "found", "part"])
 
         for b in batches:
-            for doc, twin, size, h, at in spread(b):
+            for doc, twin, size, h, h2, at in spread(b):
                 held += size
-                for x, y in zip(gathered, (h, np.full(len(at), doc, np.int64), np.full(len(at), twin, np.int64), at)):
+                for x, y in zip(gathered, (h, h2, np.full(len(at), doc, np.int64), np.full(len(at), twin, np.int64), at)):
                     x.append(y)
                 if held >= FLUSH_BYTES:
                     yield out()
-                    gathered, held = [[], [], [], []], 0
+                    gathered, held = [[], [], [], [], []], 0
         yield out()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +257,8 @@ def _located(docs: DataFrame, spread: Callable, shards: int, later_only: bool) -
         for b in batches:
             for found, part in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 parts[found].append(part)
-        h, doc, twin, at = _unpack(parts[0], True)
-        here, _ = _split(h, doc, twin, at, later_only)
+        h, h2, doc, twin, at = _unpack(parts[0], True)
+        here, _ = _earliest(h, h2, doc, twin, at)
         homes, found = _parts(_homes(doc[here], twin[here], shards), doc[here], twin[here], at[here])
         passed = [int(_homes(*x, shards)[0]) for x in ((d[:1], t[:1]) for d, t, _ in (_unpack([p], False) for p in parts[1]))]
         yield pa.RecordBatch.from_arrays([pa.array([*homes, *passed], pa.int64()), pa.array([*found, *parts[1]], pa.binary())], ["home", "part"])
@@ -262,41 +280,23 @@ def _long_enough(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, np.nda
             yield j, doc, twin, len(text), WORDS.array(words)
 
 
-def _windows(h: np.ndarray, at: np.ndarray, place: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the windows whose anchor, by first window of each anchor, is ok."""
+def _windows(h: np.ndarray, at: np.ndarray, place: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes (128 bits) and the starts of the windows whose anchor, by first window of each anchor, is ok."""
     starts = np.flatnonzero(np.repeat(ok, np.diff(place, append=len(at))))
-    return window_hashes(h, WINDOW)[starts], starts
+    return window_hashes(h, WINDOW)[starts], window_hashes(h, WINDOW, 0x51ED270B)[starts], starts
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """_doc, _twin, starts: a row for each document that has windows to be removed, with their packed starts.
+def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """_doc, _twin, starts: a row for each document that has windows to be removed, with their packed starts; kept in scratch.
 
-    docs has _doc (doc_id, least long for null), _twin (hash of the text) and text. If a sketch of bounded
-    size would be too full to tell anchors apart, they are grouped exactly instead, and only documents with
-    a repeated anchor are read on; the result is the same.
+    docs has _doc (doc_id, least long for null), _twin (hash of the text) and text.
     """
-    spark = docs.sparkSession
     docs = docs.select("_doc", "_twin", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = int(np.ceil(np.log2(max(1, size / 6 / 6 * CELLS_PER_ANCHOR))))
-    if wanted <= MOST_BITS:
-        bits = max(wanted, LEAST_BITS)
-        sketch, windows = build_sketch(docs, bits)
-        table = spark.sparkContext.broadcast(sketch)
-
-        def by_sketch(b: pa.RecordBatch) -> Iterator[tuple]:
-            for _, doc, twin, n, h in _long_enough(b):
-                at, g = anchors(h)
-                place = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                yield doc, twin, n, *_windows(h, at, place, repeated(g[at[place]], table.value, bits))
-
-        return _located(docs, by_sketch, max(8, -(-windows // (4 * GROUP_WINDOWS))), True)
-
-    def all_anchors(b: pa.RecordBatch) -> Iterator[tuple]:
-        for _, doc, twin, n, h in _long_enough(b):
-            at, g = anchors(h)
-            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-            yield doc, twin, n, g[at], at
+    store = anchor_store(docs, scratch)
+    total = store.agg(F.sum("n")).first()[0] or 0
+    found = scratch.keep(estimated(store, max(LEAST_RANGES, -(-total // RANGE_ANCHORS))))
+    scratch.drop(store)
+    number, packed = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("starts"))).first()
 
     def by_places(b: pa.RecordBatch) -> Iterator[tuple]:
         places = b.column(3).to_pylist()
@@ -305,21 +305,22 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             place = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             yield doc, twin, n, *_windows(h, at, place, np.isin(at[place], _places(places[j])))
 
-    shards = max(8, -(-size // (6 * 4 * GROUP_WINDOWS)))
-    read_on = docs.join(_located(docs, all_anchors, shards, False), ["_doc", "_twin"]).select("_doc", "_twin", "text", "starts")
-    return _located(read_on, by_places, shards, True)
-
+    read_on = join_few(docs, found, ["_doc", "_twin"], "inner", number, 24 + (packed or 0) // max(number, 1)).select("_doc", "_twin", "text", "starts")
+    located = scratch.keep(_located(read_on, by_places, max(LEAST_RANGES, -(-total // GROUP_ANCHORS))))
+    scratch.drop(found)
+    return located
 
-def _key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.coalesce(doc_id, F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(text).alias("_twin")]
 
-
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """docs with _starts (packed starts of the windows to be removed; null if none)."""
-    prepare(docs.sparkSession)
-    marked = docs.withColumns(dict(zip(("_doc", "_twin"), _key(F.col("doc_id"), F.col("text")))))
-    found = repeated_windows(marked.select("_doc", "_twin", "text")).withColumnRenamed("starts", "_starts")
-    return marked.join(found, ["_doc", "_twin"], "left").select(*docs.columns, "_starts")
+def find_repeats(docs: DataFrame, own: list[str], doc_id: Column, text: Column) -> DataFrame:
+    """The columns own of docs with _starts (packed starts of the windows to be removed; null if none)."""
+    spark = docs.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark)
+    marked = docs.withColumns({"_doc": F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))), "_twin": F.xxhash64(text)})
+    found = cut(repeated_windows(marked.select("_doc", "_twin", text.alias("text")), scratch).withColumnRenamed("starts", "_starts"))
+    scratch.close()
+    number, packed = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("_starts"))).first()
+    return join_few(marked.select(*own, "_doc", "_twin"), found, ["_doc", "_twin"], "left", number, 24 + (packed or 0) // max(number, 1)).select(*own, "_starts")
 
 
 def _places(packed: bytes) -> np.ndarray:
@@ -337,7 +338,8 @@ def report(docs: DataFrame) -> DataFrame:
     others. Rows of equal id and text are one document: their windows are not earlier than each other's,
     and both get the same result; rows of equal id and different text are told apart by a hash of the text.
     """
-    found = find_repeats(docs.select("doc_id", "text"))
+    kind, docs = type_of(docs, "doc_id"), only(docs, "doc_id", "text")
+    found = find_repeats(docs, docs.columns, F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,15 +353,17 @@ def report(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words cut out of text, from the first to the last word of each run; rows left without words go.
 
-    Untouched rows come back as they are, nulls included.
+    Untouched rows come back as they are, nulls and extra columns (of whatever name) included. Rows of equal id
+    and text are one document, as in report().
     """
-    found, text_at, schema = find_repeats(docs), docs.columns.index("text"), docs.schema
+    names, docs, text_at, id_at = docs.columns, numbered(docs), place_of(docs, "text"), place_of(docs, "doc_id")
+    found, schema = find_repeats(docs, docs.columns, F.col(f"c{id_at}"), F.col(f"c{text_at}")), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,4 +384,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(texts, b.schema.field(text_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).toDF(*names)
