@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
 from cases import SCHEMA, odd_documents
@@ -12,8 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidevec.llm import quality_rules, token_counts
-from tidevec.llm.decontaminate import decontaminate, report
+from tidevec.llm import common, quality_rules, token_counts
+from tidevec.llm import decontaminate as decontaminate_module
+from tidevec.llm.decontaminate import Windows, decontaminate, report
 
 DATA = "/root/testdata/sf0.001"
 LIBRARY = Tokenizer.from_file(P.path("word_bpe_49k.json"))
@@ -81,6 +83,43 @@ def test_decontamination_of_a_table(spark):
     assert hits(report(df, bench, block_bytes=2_000)) == want
 
 
+def test_blocks_keep_no_text(spark, monkeypatch):
+    """Of the documents, several blocks of a benchmark keep ids, masks and items alone; a join beyond broadcast gives the same."""
+    kept = []
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, keep=common.Scratch.keep: kept.append(df.columns) or keep(self, df))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    df, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = ([(r[k], r["text"]) for r in t.collect()] for t, k in ((df, "doc_id"), (bench, "item_id")))
+    assert hits(report(df, bench, block_bytes=4_000)) == brute_hits(docs, items)
+    assert len(kept) > 1 and all(c == ["_doc", "_twin", "_mask", "_items"] for c in kept)
+
+
+def test_windows_take_bounded_memory():
+    items = [(str(i), " ".join(f"word{(i * 7919 + j * 104729) % 50_021}" for j in range(160)).encode()) for i in range(2_000)]
+    windows = Windows(items, 8)
+    assert windows.nbytes() <= 6 * sum(len(t) for _, t in items)
+    mask, names = windows.hits(items[5][1].split())
+    assert mask.all() and "5" in names
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate_module, "window_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    windows = Windows([("a", b"one two three"), ("b", b"four five six"), ("c", b"one two three")], 3)
+    mask, names = windows.hits(b"zero one two three nine".split())
+    assert mask.tolist() == [False, True, True, True, False] and names == {"a", "c"}
+
+
+def test_clashing_names_and_types(spark):
+    bench = spark.createDataFrame([("i1", "alpha beta gamma delta"), ("i2", "one two three four five")], "item_id string, text string")
+    rows = [(1, "x alpha beta gamma delta y", "T", 9, b"m", ["i"], "d", 5), (1, "alpha beta gamma delta one two three four five", "T", 9, b"m", ["i"], "d", 5), (None, "clean", "T", 9, b"m", ["i"], "d", 5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, TEXT string, Doc_ID int, _mask binary, _items array<string>, _doc string, _hits int")
+    for block_bytes in (8_000_000, 120):
+        out = decontaminate(df, bench, block_bytes=block_bytes)
+        assert out.columns == df.columns
+        assert sorted((r[0] or 0, " ".join(r[1].split()), r[2], r[4], r[7]) for r in out.collect()) == [(0, "clean", "T", b"m", 5), (1, "x y", "T", b"m", 5)]
+        assert sorted((r.doc_id or 0, r.n_items) for r in report(df, bench, block_bytes=block_bytes).collect()) == [(0, 0), (1, 1), (1, 2)]
+
+
 def test_decontamination_of_odd_rows(spark):
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(30)]
