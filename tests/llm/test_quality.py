@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def brute(scores, mean, strength):
+def brute(scores, mean, strength, path_strength):
     """Scores from document log odds by plain loops."""
     p = {r.doc_id: 1 / (1 + np.exp(-r._logit)) for r in scores}
     hosts, paths = {}, {}
@@ -21,7 +21,7 @@ def brute(scores, mean, strength):
     for r in scores:
         h, q = hosts[r._host], paths[r._path]
         host = (sum(h) - p[r.doc_id] + strength * mean) / (len(h) - 1 + strength)
-        path = min(max((sum(q) - p[r.doc_id] + quality.PATH_STRENGTH * host) / (len(q) - 1 + quality.PATH_STRENGTH), 1e-3), 1 - 1e-3)
+        path = min(max((sum(q) - p[r.doc_id] + path_strength * host) / (len(q) - 1 + path_strength), 1e-3), 1 - 1e-3)
         out[r.doc_id] = 1 / (1 + np.exp(-(r._logit + np.log(path / (1 - path)) - np.log(mean / (1 - mean)))))
     return out
 
@@ -39,8 +39,7 @@ def test_accuracy_and_scores(spark, tables):
     good, bad = [out[i].kept for i in y if y[i] == 1], [out[i].kept for i in y if y[i] == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
     scores = quality.document_scores(docs, quality.fit(docs, labels))
-    _, mean, strength = quality.sites(scores)
-    want = brute(scores.collect(), mean, strength)
+    want = brute(scores.collect(), *quality.sites(scores)[1])
     assert all(abs(out[i].score - want[i]) < 1e-6 for i in want)
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
@@ -51,16 +50,45 @@ def test_sites_of_many_kinds_shrink(spark):
     rows = [(i, "x", "https://a.org/good/1") for i in range(400)] + [(1000, "x", "b.org"), (1001, "x", None), (1002, "x", "https://a.org/bad?q")]
     scores = spark.createDataFrame(rows, "doc_id long, text string, source string")
     scores = scores.select("doc_id", *quality.site(scores.source)).selectExpr("*", "CASE WHEN _host = 'a.org' THEN 3D ELSE -3D END AS _logit")
-    table, mean, strength = quality.sites(scores)
+    table, (mean, strength, path_strength) = quality.sites(scores)
     rows = {r._path: r for r in table.collect()}
     assert set(rows) == {"a.org/good", "a.org/bad", "b.org/", "/"} and rows["a.org/good"]._host_n == 401
-    assert 0.9 < mean < 0.96 and quality.STRENGTH[0] <= strength <= quality.STRENGTH[1]
+    assert 0.9 < mean < 0.96
+    assert all(quality.STRENGTH[0] <= x <= quality.STRENGTH[1] for x in (strength, path_strength))
+
+
+def by_path(spark, rates, n=60):
+    """Scores of URL sources: n documents of each path, of which a share is good."""
+    rows = [(i, f"https://h{h}.org/p{p}/{i}?q", 4.0 if i < rate * n else -4.0) for h, paths in enumerate(rates) for p, rate in enumerate(paths) for i in range(n)]
+    scores = spark.createDataFrame(rows, "doc_id long, source string, _logit double")
+    return scores.select("doc_id", *quality.site(scores.source), "_logit")
+
+
+def test_the_strength_of_paths_is_fitted(spark):
+    """Paths that differ within their host count for themselves; paths alike shrink to their host; without paths there is no path level."""
+    _, (_, _, apart) = quality.sites(by_path(spark, [(0.1, 0.9), (0.2, 0.8), (0.9, 0.05)]))
+    _, (_, _, some) = quality.sites(by_path(spark, [(0.3, 0.6), (0.4, 0.7), (0.5, 0.2)]))
+    _, (_, _, alike) = quality.sites(by_path(spark, [(0.5, 0.5), (0.4, 0.4), (0.7, 0.7)]))
+    _, (_, _, single) = quality.sites(by_path(spark, [(0.1,), (0.9,)]))
+    assert apart == quality.STRENGTH[0] < some < 100 < alike == single == quality.STRENGTH[1]
+
+
+def test_clashing_names_types_and_repeated_ids(spark):
+    odd = "doc_id int, text string, source string, _host string, _path string, _logit double, _host_sum string, _path_n int, TEXT string, Doc_ID int"
+    rows = [(i % 25, f"word{i} and words", f"s{i % 3}", "h", "p", 7.0, "x", 3, "T", 9) for i in range(50)]
+    df = spark.createDataFrame(rows, odd)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(25)], "doc_id int, quality int, toxic int")
+    out = quality.keep_good(df, labels)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert set(map(tuple, got)) <= set(rows) and len(got) == quality.classify(df, labels).where("kept").count()
+    assert dict(quality.classify(df, labels).dtypes)["doc_id"] == "int"
 
 
 def test_salted_join_gives_the_same(spark, tables, monkeypatch):
     docs, labels = tables[0].limit(300), tables[1]
     want = sorted((r.doc_id, round(r.score, 9)) for r in quality.classify(docs, labels).collect())
-    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
     assert sorted((r.doc_id, round(r.score, 9)) for r in quality.classify(docs, labels).collect()) == want
 
 

@@ -2,9 +2,10 @@
 
 A logistic classifier on counts of the whole text gives each document a probability of being good. These
 are summed by host and by first path segment. A host's rate is a beta posterior whose prior (mean and
-strength) is fitted to all hosts by moments; a path's rate is one whose prior is its host's rate. So sites
-with few documents shrink toward the global rate. A document's score adds its site's log odds, without
-the document's own share and relative to the global rate, to its own log odds.
+strength) is fitted to all hosts by moments; a path's rate is one whose prior is its host's rate, with a
+strength fitted to the spread of paths within hosts. So sites with few documents shrink toward the global
+rate, and paths toward their host's. A document's score adds its site's log odds, without the document's own
+share and relative to the global rate, to its own log odds.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import BROADCAST_BYTES, as_bytes, cut, is_training, maybe_broadcast, prepare
+from tidevec.llm.common import BROADCAST_BYTES, as_bytes, cut, is_training, maybe_broadcast, numbered, only, place_of, prepare, type_of
 
 #: Bound of the training sample: labelled documents, by hash of the id. Only their counts are collected.
 TRAINING_DOCS = 20_000
 STEPS, RATE, DECAY = 3_000, 0.3, 1e-3
-#: Limits of a fitted prior's strength, in documents; strength of a host's rate as its paths' prior.
-STRENGTH, PATH_STRENGTH = (5.0, 10_000.0), 20.0
+#: Limits of a fitted prior's strength, in documents.
+STRENGTH = (5.0, 10_000.0)
 #: Weight of the site's log odds against the document's own, and the score under which a document is rejected.
 SITE_WEIGHT, LEAST_SCORE = 1.0, 0.5
 SALTS = 64
@@ -82,23 +83,20 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(mean, scale, w, float(b))
 
 
-def _measure(docs: DataFrame, extra: str) -> DataFrame:
-    """x (features) beside the column extra of docs(extra, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in as_bytes(b.column(1))], pa.list_(pa.float64()))], [extra, "x"])
-
-    return docs.select(F.col(extra).cast("int"), "text").mapInArrow(run, f"{extra} int, x array<double>")
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on labelled documents of the training folds."""
+    """Train on labelled documents of the training folds; of rows of equal id the one with the least counts is learned from."""
     prepare(docs.sparkSession)
+    labels = only(labels, "doc_id", "quality")
     known = labels.where(is_training(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = int(min(1.0, TRAINING_DOCS / max(1, known.count())) * 1_000_000) + 1
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = _measure(docs.select("doc_id", "text").join(maybe_broadcast(chosen, 2 * TRAINING_DOCS, 16), "doc_id"), "quality").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t) for t in as_bytes(b.column(2))], pa.list_(pa.float64()))], ["id", "quality", "x"])
+
+    sample = only(docs, "doc_id", "text").join(maybe_broadcast(chosen, 2 * TRAINING_DOCS, 16), "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("int"), "text")
+    rows = sample.mapInArrow(run, "id string, quality int, x array<double>").groupBy("id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")).collect()
     x, y = np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([float(r.quality == 1) for r in rows])
     order = np.lexsort((*x.T, y))
     return train(x[order], y[order])
@@ -112,7 +110,7 @@ def site(source: Column) -> tuple[Column, Column]:
 
 
 def document_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, _host, _path, _logit of each row."""
+    """doc_id, _host, _path, _logit of each row: also of null texts (counted as empty) and null sources (one site)."""
     spark = docs.sparkSession
     prepare(spark)
     table = spark.sparkContext.broadcast(model)
@@ -123,27 +121,41 @@ def document_scores(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t) for t in as_bytes(b.column(3))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(m.logit(x))], ["doc_id", "_host", "_path", "_logit"])
 
-    return docs.select("doc_id", *site(F.col("source")), "text").mapInArrow(run, "doc_id long, _host string, _path string, _logit double")
+    return only(docs, "doc_id", "source", "text").select("doc_id", *site(F.col("source")), "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, _host string, _path string, _logit double")
 
 
 def _p(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def sites(scores: DataFrame) -> tuple[DataFrame, float, float]:
-    """By path: _host_sum, _host_n, _path_sum, _path_n; and the prior's mean and strength."""
+def _strength(mean: float, between: float) -> float:
+    """Of a beta with this mean whose variance is between; the upper limit if nothing is left of the spread."""
+    return min(max(mean / between - 1, STRENGTH[0]), STRENGTH[1]) if between > 0 else STRENGTH[1]
+
+
+def sites(scores: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
+    """By path: _host_sum, _host_n, _path_sum, _path_n; and the priors: mean and strength of hosts, strength of paths.
+
+    Strengths come from the spread of rates (of hosts, and of paths about their host) less what chance gives
+    sites of their sizes. Hosts of one path say nothing about paths; if there are no others, a path's rate is
+    its host's.
+    """
     paths = scores.groupBy("_host", "_path").agg(F.sum(_p(F.col("_logit"))).alias("_path_sum"), F.count(F.lit(1)).cast("double").alias("_path_n"))
-    hosts = paths.groupBy("_host").agg(F.sum("_path_sum").alias("_host_sum"), F.sum("_path_n").alias("_host_n"))
+    hosts = paths.groupBy("_host").agg(F.sum("_path_sum").alias("_host_sum"), F.sum("_path_n").alias("_host_n"), F.count(F.lit(1)).alias("_paths"))
     rate = F.col("_host_sum") / F.col("_host_n")
     r = hosts.agg((F.sum("_host_sum") / F.sum("_host_n")).alias("mean"), F.var_pop(rate).alias("spread"), F.avg(1 / F.col("_host_n")).alias("noise")).first()
     mean = min(max(r["mean"] if r["mean"] is not None else 0.5, 1e-3), 1 - 1e-3)
-    between = (r["spread"] or 0.0) - mean * (1 - mean) * (r["noise"] or 0.0)
-    strength = min(max(mean * (1 - mean) / between - 1, STRENGTH[0]), STRENGTH[1]) if between > 0 else STRENGTH[1]
-    return paths.join(hosts, "_host"), mean, strength
+    binomial = mean * (1 - mean)
+    strength = _strength(binomial, (r["spread"] or 0.0) - binomial * (r["noise"] or 0.0))
+    table = paths.join(hosts, "_host")
+    by_chance = rate * (1 - rate)
+    within = table.where("_paths > 1").agg(F.sum((F.col("_path_sum") / F.col("_path_n") - rate) ** 2).alias("spread"), F.sum(by_chance * (1 / F.col("_path_n") - 1 / F.col("_host_n"))).alias("noise"), F.sum(by_chance).alias("all")).first()
+    path_strength = _strength(within["all"] or 0.0, (within["spread"] or 0.0) - (within["noise"] or 0.0))
+    return table.drop("_paths"), (mean, strength, path_strength)
 
 
 def with_sites(rows: DataFrame, table: DataFrame, salted_by: Column) -> DataFrame:
-    """rows with their site's sums: by broadcast up to BROADCAST_ROWS sites, beyond by a salted join."""
+    """rows with their site's sums: by broadcast up to BROADCAST_BYTES, beyond by a salted join."""
     table = table.drop("_host")
     if table.count() * 150 <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), "_path", "left")
@@ -151,11 +163,12 @@ def with_sites(rows: DataFrame, table: DataFrame, salted_by: Column) -> DataFram
     return rows.withColumn("_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)).cast("int")).join(spread, ["_path", "_salt"], "left").drop("_salt")
 
 
-def posterior(logit: Column, mean: float, strength: float, site_weight: float) -> tuple[Column, Column, Column]:
+def posterior(logit: Column, prior: tuple[float, float, float], site_weight: float) -> tuple[Column, Column, Column]:
     """Host rate, path rate (both without the document itself) and score."""
+    mean, strength, path_strength = prior
     own = _p(logit)
     host = (F.col("_host_sum") - own + strength * mean) / (F.col("_host_n") - 1 + strength)
-    path = (F.col("_path_sum") - own + PATH_STRENGTH * host) / (F.col("_path_n") - 1 + PATH_STRENGTH)
+    path = (F.col("_path_sum") - own + path_strength * host) / (F.col("_path_n") - 1 + path_strength)
     path = F.greatest(F.least(path, F.lit(1 - 1e-3)), F.lit(1e-3))
     odds = logit + site_weight * (F.log(path / (1 - path)) - float(np.log(mean / (1 - mean))))
     return host, path, _p(odds)
@@ -165,29 +178,34 @@ def classify(docs: DataFrame, labels: DataFrame, site_weight: float = SITE_WEIGH
     """doc_id, doc_score, host_rate, path_rate, score, kept for each row of docs(doc_id, text, source, ...).
 
     kept: score >= least. Null texts count as empty and null sources as one site. Repeated rows and null
-    ids give a row each; an empty table gives no rows; without labels of both kinds only sites count.
+    ids give a row each; an empty table gives no rows; without labels of both kinds only sites count. Other
+    columns, of whatever name, are not read.
     """
     scores = cut(document_scores(docs, fit(docs, labels)))
-    table, mean, strength = sites(scores)
-    host, path, score = posterior(F.col("_logit"), mean, strength, site_weight)
+    table, prior = sites(scores)
+    host, path, score = posterior(F.col("_logit"), prior, site_weight)
     rows = with_sites(scores, table, F.col("doc_id")).select("doc_id", _p(F.col("_logit")).alias("doc_score"), host.alias("host_rate"), path.alias("path_rate"), score.alias("score"))
     return rows.withColumn("kept", F.col("score") >= least)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, site_weight: float = SITE_WEIGHT, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs that classify() keeps, unchanged. Texts are scored where they lie; none is shuffled."""
+    """The rows of docs that classify() keeps, unchanged, extra columns of whatever name included.
+
+    Nulls, repeated rows and empty tables are as in classify(). Texts are scored where they lie; none is shuffled.
+    """
     spark = docs.sparkSession
     model = fit(docs, labels)
-    table, mean, strength = sites(cut(document_scores(docs, model)))
+    table, prior = sites(cut(document_scores(docs, model)))
     own = spark.sparkContext.broadcast(model)
-    text_at, names = docs.columns.index("text"), docs.columns
-    marked = docs.withColumns({c: x for c, x in zip(("_host", "_path"), site(F.col("source")))})
+    names, plain = docs.columns, numbered(docs)
+    text_at, id_at, source_at = (place_of(docs, c) for c in ("text", "doc_id", "source"))
+    marked = plain.withColumns({c: x for c, x in zip(("_host", "_path"), site(F.col(f"c{source_at}")))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t) for t in as_bytes(b.column(text_at))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.value.logit(x))], names=[*b.schema.names, "_logit"])
 
-    joined = with_sites(marked, cut(table), F.col("doc_id")).select(*names, "_host_sum", "_host_n", "_path_sum", "_path_n")
+    joined = with_sites(marked, cut(table), F.col(f"c{id_at}")).select(*plain.columns, "_host_sum", "_host_n", "_path_sum", "_path_n")
     scored = joined.mapInArrow(run, joined.withColumn("_logit", F.lit(0.0)).schema)
-    return scored.where(posterior(F.col("_logit"), mean, strength, site_weight)[2] >= least).select(*names)
+    return scored.where(posterior(F.col("_logit"), prior, site_weight)[2] >= least).select(*plain.columns).toDF(*names)
