@@ -72,6 +72,12 @@ def test_encoder(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(deadline=None, max_examples=500)
+@given(st.text(alphabet=" \n'.,;:!?-_0123456789abcdestvmlrDSTßéÀ|<>", max_size=80))
+def test_encoder_on_plain_texts(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.dictionaries(st.integers(1, 100), st.integers(1, 40), max_size=30))
 def test_plans_hold_all(histogram):

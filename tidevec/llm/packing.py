@@ -31,6 +31,8 @@ from tidevec.llm.token_counts import load_tokenizer
 CAPACITY, END_ID = 1024, 2
 #: Entries of a worker's cache of chunks, for each of two kinds.
 CHUNK_ENTRIES, LONGEST_KEPT = 150_000, 64
+#: Characters of a plain text that is encoded at once, which bounds memory; longer ones go in chunks.
+LONGEST_WHOLE = 1 << 20
 #: Pieces of one length that are ranked together; a commoner length is dealt to several parts by a hash of the row.
 PART_ROWS = 100_000
 #: Fruitless sideways exchanges in a row, and exchanges in all (each in all bins of equal contents at once),
@@ -60,7 +62,8 @@ class Encoder:
     """Ids of whole texts as the library's byte-level tokenizer gives them, from cached chunks.
 
     A single space or line feed between other than white space always begins a pre-token, so texts are cut
-    there. ranks_path names the same vocabulary for the faster encoder; without it the library does all.
+    there. ranks_path names the same vocabulary for the faster encoder, which takes plain texts whole; without
+    it the library does all.
     """
 
     def __init__(self, path: str, ranks_path: str | None):
@@ -88,6 +91,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.slow(text), "<u4").tobytes()
+        if self.fast and len(text) <= LONGEST_WHOLE and PLAIN.fullmatch(text):
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         if ODD_SPACE.search(text):
             return b"".join(map(self.first.__getitem__, BEFORE_WORD.split(text)))
         out, after = [], self.after_space.__getitem__
