@@ -1,9 +1,11 @@
 import base64
 import hashlib
 import io
+import os
 
 import pyarrow.parquet as pq
 
+from tidevec.llm import common
 from tidevec.llm.warc import archive_and_read, build_dictionary, parse, read_archives, write_archives
 
 SCHEMA = "page_id long, url string, html string, record_type string, refers_to string"
@@ -43,6 +45,9 @@ def test_table_and_files(spark, tmp_path):
     from tidevec.llm.warc import read_archive
 
     payloads = {}
+    kinds = [[parse(raw)[0]["WARC-Type"] for raw in read_archive(io.BytesIO(open(p, "rb").read()))] for p in listed]
+    assert all(k[0] == "warcinfo" and "warcinfo" not in k[1:] for k in kinds)
+    assert sum(len(k) - 1 for k in kinds) == len(rows) == sum(r.records for r in archives.collect())
     for p in listed:
         for raw in read_archive(io.BytesIO(open(p, "rb").read())):
             fields, _, payload = parse(raw)
@@ -56,3 +61,11 @@ def test_empty_and_small(spark):
     assert got(archive_and_read(spark, spark.createDataFrame([], SCHEMA))) == []
     assert build_dictionary([]) == b""
     assert build_dictionary([b"abc" * 10]) == b"abc" * 10
+
+
+def test_clashing_names_and_a_join_beyond_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = [(i, f"u{i}", "same" if i % 3 else f"page {i}") for i in range(30)]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "page_id int, url string, html string, HTML string, _sha string, _last string")
+    assert got(archive_and_read(spark, df)) == brute(rows)
+    assert not [p for p in os.listdir(common.shared_dir(spark)) if p.startswith("warc-")]

@@ -10,6 +10,7 @@ summed class scores by subword.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import as_bytes, is_training, prepare
+from tidevec.llm.common import as_bytes, is_training, only, prepare, type_of
 
-#: Bounds of the training sample: documents in all and of each language, by hash of the id, languages
-#: learned, and bytes of a document (longer ones are not learned from, but predicted like all others).
-TRAINING_DOCS, DOCS_PER_LANGUAGE, MOST_LANGUAGES, TRAINING_BYTES = 8_000, 1_000, 200, 65_536
+#: Bounds of the training sample: documents in all and of each language (one at least), by hash of the id, and
+#: bytes of all of them. Languages take turns; of each, documents over LONG bytes come last.
+TRAINING_DOCS, DOCS_PER_LANGUAGE, TRAINING_BYTES, LONG = 8_000, 1_000, 48 << 20, 65_536
 BUCKETS, DIMENSIONS, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
 EPOCHS, RATE = 4, 0.5
 #: Bytes that are hashed at once, which bounds memory for long texts.
@@ -53,19 +54,23 @@ def subwords(text: bytes) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
+    """Of few languages, embeddings hold class scores by bucket and out is None; both are the same function."""
+
     languages: list[str]
-    table: np.ndarray  # class scores by bucket
+    embeddings: np.ndarray
+    out: np.ndarray | None
     bias: np.ndarray
     temperature: float
     least_score: float
 
     def predict(self, text: bytes) -> tuple[str, float]:
         """Most likely language and its calibrated probability."""
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.embeddings.shape[1]), 0
         for at in subwords(text):
-            total += np.bincount(at, minlength=BUCKETS) @ self.table
+            total += np.bincount(at, minlength=BUCKETS) @ self.embeddings
             n += len(at)
-        p = softmax((total / max(n, 1) + self.bias) / self.temperature)
+        z = total / max(n, 1)
+        p = softmax(((z if self.out is None else z @ self.out) + self.bias) / self.temperature)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
@@ -107,7 +112,8 @@ def train(texts: list[bytes], languages: list[str], seed: int = 7) -> Model:
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-9).mean()
     temperature = min(np.geomspace(0.05, 5, 60).tolist(), key=loss)
     p = softmax(z / temperature)
-    return Model(names, (emb @ out).astype(np.float64), bias.astype(np.float64), temperature, _least(p.max(1), p.argmax(1) == y[held]))
+    table = ((emb @ out).astype(np.float64), None) if len(names) <= DIMENSIONS else (emb.astype(np.float64), out.astype(np.float64))
+    return Model(names, *table, bias.astype(np.float64), temperature, _least(p.max(1), p.argmax(1) == y[held]))
 
 
 def _least(score: np.ndarray, right: np.ndarray, precision: float = 0.99) -> float:
@@ -118,17 +124,31 @@ def _least(score: np.ndarray, right: np.ndarray, precision: float = 0.99) -> flo
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Train on docs(doc_id, text, lang) of the training folds; None if no row there has text and language."""
-    rows = docs.where(is_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= TRAINING_BYTES)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    """Train on docs(doc_id, text, lang) of the training folds; None if no row there has text and language.
+
+    Every language is learned, by its short documents first; a document that alone is over TRAINING_BYTES is passed over.
+    """
+    docs = only(docs, "doc_id", "lang", "text").withColumn("lang", F.col("lang").cast("string"))
+    rows = docs.where(is_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    each = min(DOCS_PER_LANGUAGE, TRAINING_DOCS // len(counts))
-    chance = F.lit(0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, int(min(1.0, each / n) * 1_000_000) + 1).otherwise(chance)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < chance)
-    found = sorted((r.doc_id, r.lang, r.text.encode()) for r in sample.collect())
+    each = max(1, min(DOCS_PER_LANGUAGE, TRAINING_DOCS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(x, int(min(1.0, 2 * each / n) * 1_000_000) + 1) for x, n in counts.items()], "lang string, share long")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    sample = rows.join(F.broadcast(shares), "lang").where(turn < F.col("share"))
+    sizes = sample.groupBy("lang", "doc_id").agg(F.sum(F.octet_length("text") + 100).alias("size"), F.min(turn).alias("turn")).collect()
+    by_language: dict[str, list] = defaultdict(list)
+    for r in sorted(sizes, key=lambda r: (r["size"] > LONG, r["turn"], r["doc_id"])):
+        by_language[r["lang"]].append(r)
+    taken, total = [], 0
+    for rank in range(each):
+        for lang in sorted(by_language):
+            if rank < len(by_language[lang]) and total + by_language[lang][rank]["size"] <= TRAINING_BYTES:
+                taken.append((lang, by_language[lang][rank]["doc_id"]))
+                total += by_language[lang][rank]["size"]
+    chosen = docs.sparkSession.createDataFrame(taken, f"lang string, doc_id {type_of(docs, 'doc_id')}")
+    found = sorted((r.doc_id, r.lang, r.text.encode("utf-8", "replace")) for r in rows.join(F.broadcast(chosen), ["lang", "doc_id"]).collect())
     return train([t for _, _, t in found], [x for _, x, _ in found]) if found else None
 
 
@@ -137,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A text that is null or has no letter is `und` with score 0; so is every text if there is no model.
     accepted: score at or above the calibrated least score. Only text is read for a prediction, all of it.
-    Repeated rows and null ids (held out) give a row each.
+    Repeated rows and null ids (held out) give a row each; other columns, of whatever name, are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -157,4 +177,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             ok = [x != UNKNOWN and p >= m.least_score for x, p in zip(lang, score)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    kind, docs = type_of(docs, "doc_id"), only(docs, "doc_id", "text")
+    return docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean")

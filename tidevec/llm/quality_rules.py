@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import BROADCAST_BYTES, cut
+from tidevec.llm.common import BROADCAST_BYTES, cut, only
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Salts of a host too common for one task, when hosts are too many to broadcast.
@@ -38,7 +38,7 @@ def text_counts(docs: DataFrame, text: str = "text", window: int = 8) -> DataFra
     Words are runs of other than the six ASCII white space characters; a null text has none.
     """
     k = window
-    t = docs.select("doc_id", host(F.col("source")).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t = only(docs, "doc_id", "source", text).toDF("doc_id", "source", "_t").select("doc_id", host(F.col("source")).alias("_host"), F.coalesce("_t", F.lit("")).alias("_t"))
     t = t.withColumn("_trim", F.btrim("_t", F.lit(SPACE)))
     t = t.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", "[ \\t-\\r]+")))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
@@ -87,7 +87,8 @@ def apply_rules(docs: DataFrame, max_host_rate: float = 0.5, min_words: int = 20
     base_failed: fewer than min_words words, or over max_repeat_percent of them in repeated windows. A
     document of a host whose shrunk failure rate is above max_host_rate is kept only without any lesser
     failure; of other hosts with one at most. A null source is a host of its own; null texts have no words
-    and fail; repeated rows and null ids give a row each; an empty table gives no rows.
+    and fail; repeated rows and null ids give a row each; an empty table gives no rows. Other columns, of
+    whatever name, are not read.
     """
     c = text_counts(docs)
     words = F.greatest(F.col("n_words"), F.lit(1))

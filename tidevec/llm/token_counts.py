@@ -16,18 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import as_bytes, prepare
+from tidevec.llm.common import as_bytes, only, prepare, type_of
 
 #: Documents that the frequent table is drawn from. The table only saves time; counts never depend on it.
 SAMPLE_DOCS = 2_000
-#: Entries of the broadcast table (below 2 MB pickled).
-TABLE_ENTRIES = 65_536
+#: Entries of the broadcast table (below 2 MB pickled), and tasks that draw its sample.
+TABLE_ENTRIES, SAMPLE_PARTS = 65_536, 8
 #: Entries of a worker's cache.
 WORKER_ENTRIES = 500_000
 #: Longer pre-tokens are encoded each time and kept nowhere.
 LONGEST_KEPT = 64
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _tokenizers: dict = {}
 
 
@@ -69,7 +68,11 @@ def _worker(path: str, table) -> Lengths:
 
 
 def frequent(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> dict[bytes, int]:
-    """Lengths of the most frequent pre-tokens of at most SAMPLE_DOCS documents, by hash of their ids."""
+    """Lengths of frequent pre-tokens of at most about SAMPLE_DOCS documents, by hash of their ids.
+
+    Each task counts on its own and hands over its commonest, as one value; the driver adds these up, of at
+    most SAMPLE_PARTS tasks. No pre-token is shuffled.
+    """
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(total, 1))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).where("text is not null")
@@ -79,11 +82,15 @@ def frequent(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> dict[b
         for b in batches:
             for text in as_bytes(b.column(0)):
                 seen.update(w for w in text.split() if len(w) <= LONGEST_KEPT)
-        top = seen.most_common(entries)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
-
-    top = sample.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(entries)
-    words = [bytes(r.w) for r in top.select("w").collect()]
+        if seen:
+            top = seen.most_common(entries // SAMPLE_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.binary())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["w", "n"])
+
+    seen: Counter = Counter()
+    for r in sample.select("text").coalesce(SAMPLE_PARTS).mapInArrow(count, "w array<binary>, n array<long>").toLocalIterator():
+        for w, n in zip(r.w, r.n):
+            seen[bytes(w)] += n
+    words = sorted(seen, key=lambda w: (-seen[w], w))[:entries]
     lengths = load_tokenizer(path).encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
     return {w: len(e.ids) for w, e in zip(words, lengths, strict=True)}
 
@@ -97,7 +104,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select("doc_id", "text")
+    kind, docs = type_of(docs, "doc_id"), only(docs, "doc_id", "text")
     table = spark.sparkContext.broadcast(frequent(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,4 +116,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 tokens.append(sum(map(length, text.split())) if text else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

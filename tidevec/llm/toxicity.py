@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import is_training, maybe_broadcast, prepare
+from tidevec.llm.common import is_training, maybe_broadcast, only, prepare, type_of
 
 #: Bounds of the training sample: labelled documents, by hash of the id, and bytes of all of them together.
 TRAINING_DOCS, TRAINING_BYTES = 6_000, 32 << 20
@@ -62,6 +62,16 @@ def floor(n: int) -> float:
     return float(np.log(max(n / LONG, 1.0)))
 
 
+class WordFeatures(dict):
+    """Codes of words, kept while training."""
+
+    def __missing__(self, word: str) -> list[int]:
+        found = features(word)
+        if len(word) <= LONGEST_KEPT and len(self) < WORD_ENTRIES:
+            self[word] = found
+        return found
+
+
 @dataclass
 class Model:
     weights: dict[int, float]  # by code
@@ -137,10 +147,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     if not any(labels):
         return Model({}, -30.0)
     # Documents of a feature are counted by the low bits of its code: none that is common is missed.
-    seen_in = np.zeros(1 << COUNT_BITS, np.uint16)
+    seen_in, codes_of = np.zeros(1 << COUNT_BITS, np.uint16), WordFeatures()
     for text in texts:
         words = {word for s in sentences(text) for word in s}
-        seen_in[np.unique(np.fromiter({x for word in words for x in features(word)}, np.int64) & (len(seen_in) - 1))] += 1
+        seen_in[np.unique(np.fromiter({x for word in words for x in codes_of[word]}, np.int64) & (len(seen_in) - 1))] += 1
     common = (seen_in >= max(2, LEAST_SHARE * len(texts))).astype(np.uint8).tobytes()
     index: dict[int, int] = {}
     bags = []
@@ -148,7 +158,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         at, of, n = array("i"), array("i"), 0
         for s in sentences(text):
             for word in sorted(s):
-                for x in features(word):
+                for x in codes_of[word]:
                     if common[x & (len(common) - 1)]:
                         at.append(index.setdefault(x, len(index)))
                         of.append(n)
@@ -172,17 +182,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Documents are taken by hash of the id until TRAINING_BYTES are reached; one that alone does not fit is passed over.
     """
+    docs, labels = only(docs, "doc_id", "text"), only(labels, "doc_id", "toxic")
     known = labels.where(is_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = int(min(1.0, TRAINING_DOCS / max(1, known.count())) * 1_000_000) + 1
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.where("text is not null").select("doc_id", "text").join(maybe_broadcast(chosen, 2 * TRAINING_DOCS, 16), "doc_id")
-    sizes, taken, total = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("turn")).collect(), [], 0
+    rows = docs.where("text is not null").join(maybe_broadcast(chosen, 2 * TRAINING_DOCS, 16), "doc_id")
+    sizes, taken, total = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text") + 100).alias("size"), F.xxhash64("doc_id").alias("turn")).collect(), [], 0
     for r in sorted(sizes, key=lambda r: (r.turn, r.doc_id)):
         if total + r.size <= TRAINING_BYTES:
             taken.append(r.doc_id)
             total += r.size
     if len(taken) < len(sizes):
-        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id", "left_semi")
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], f"doc_id {type_of(docs, 'doc_id')}")), "doc_id", "left_semi")
     found = sorted((r.doc_id, r.text, int(r.toxic == 1)) for r in rows.collect())
     return train([t for _, t, _ in found], [y for _, _, y in found])
 
@@ -192,18 +203,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     worst_sentence is the number (from 0, of those with a word) of the sentence that scores highest, null
     without sentences. Null texts and texts without words score 0. Only text is read for a score, all of
-    it. Repeated rows and null ids (held out) give a row each.
+    it. Repeated rows and null ids (held out) give a row each; other columns, of whatever name, are not read.
     """
     return _scored(docs, model, False)
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """doc_id, sentence (number), text and score of each sentence that alone scores at least `least`."""
+    """doc_id, sentence (number), text and score of each sentence that alone scores at least `least`.
+
+    Null texts and texts without words have none. Repeated rows and null ids give their sentences each; an empty
+    table gives no rows; other columns, of whatever name, are not read.
+    """
     return _scored(docs, model, True, least)
 
 
 def _scored(docs: DataFrame, model: Model, located: bool, least: float = 0.5) -> DataFrame:
-    spark = docs.sparkSession
+    spark, kind, docs = docs.sparkSession, type_of(docs, "doc_id"), only(docs, "doc_id", "text")
     prepare(spark)
     table = spark.sparkContext.broadcast(model)
 
@@ -228,9 +243,9 @@ def _scored(docs: DataFrame, model: Model, located: bool, least: float = 0.5) ->
                     p = noisy_or(np.array([z]))
                     if p >= least:
                         rows.append((doc, k, written[k], p))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.float64())
+            types = (b.schema.field(0).type, pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "sentence", "text", "score"])
 
     if located:
-        return docs.select("doc_id", "text").mapInArrow(spots, "doc_id long, sentence long, text string, score double")
-    return docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out")).mapInArrow(totals, "doc_id long, held_out boolean, score double, predicted int, n_sentences long, worst_sentence long")
+        return docs.mapInArrow(spots, f"doc_id {kind}, sentence long, text string, score double")
+    return docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out")).mapInArrow(totals, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, worst_sentence long")

@@ -11,6 +11,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -18,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import cut, maybe_broadcast, prepare, shared_dir
+from tidevec.llm.common import cut, delete, join_few, only, prepare, shared_dir
 
 #: Fixed values of the format: magic number of the frame with the dictionary, profile of revisits.
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
@@ -56,6 +57,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def about(date: str) -> bytes:
+    """The warcinfo record that leads an archive."""
+    block = b"software: tidevec\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None)}", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Fields of a record, its HTTP header and its payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -107,22 +115,25 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Payloads under min_bytes refer to nothing. Null ids are smaller than others; if all ids of a payload
     are null, none refers to another. Rows of the largest id itself, if repeated, are all responses.
     """
-    p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("_sha", F.sha1("html"))
+    p = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("_sha", F.sha1("html"))
     same = p.where(F.octet_length("html") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _last is not null").select("_sha", "_last")
     same = cut(same)
-    p = p.join(maybe_broadcast(same, same.count(), 80), "_sha", "left")
+    p = join_few(p, same, ["_sha"], "left", same.count(), 80)
     other = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return p.select("page_id", "url", "html", F.when(other, F.col("_last")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, directory: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, directory: str, min_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Write pages(page_id, url, html, ...) as archives in directory (a URI that executors share); path, records, bytes of each.
 
+    A warcinfo record leads each archive; it is not counted. date is that of all records, by default that of the call.
+
     Each attempt of a task writes files of its own name and reports them when they are complete, so files of
     lost attempts are never listed. The list is kept in the shared folder: archives are written once.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, only(pages, "page_id", "url", "html")
     prepare(spark)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     total = pages.count()
     share = int(min(1.0, SAMPLE_RECORDS / max(1, total)) * 1_000_000) + 1
     sample = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share).select("page_id", "url", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("html"))
@@ -143,7 +154,7 @@ def write_archives(pages: DataFrame, directory: str, min_bytes: int = 0, date: s
                 if out is None:
                     name, records, size = f"{root}/part-{uuid.uuid4()}.warc.zst", 0, 0
                     out = store.open_output_stream(name, compression=None)
-                    out.write(SKIPPABLE + len(table.value).to_bytes(4, "little") + table.value)
+                    out.write(SKIPPABLE + len(table.value).to_bytes(4, "little") + table.value + compress(about(date)))
                 frame = compress(record(page_id, url, html, refers, date))
                 out.write(frame)
                 records, size = records + 1, size + len(frame)
@@ -176,6 +187,8 @@ def read_archives(archives: DataFrame, directory: str) -> DataFrame:
                 with store.open_input_stream(path, compression=None) as stream:
                     for raw in read_archive(stream):
                         fields, http, payload = parse(raw)
+                        if fields["WARC-Type"] == "warcinfo":
+                            continue
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                         if kind == "response" and (len(payload) != size or digest_of(payload) != digest):
@@ -191,6 +204,8 @@ def read_archives(archives: DataFrame, directory: str) -> DataFrame:
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages to a new folder in the shared one and read them back; a row for each row of pages."""
+    """Write pages to a new folder in the shared one, read them back and delete it; a row for each row of pages."""
     directory = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4()}"
-    return read_archives(write_archives(pages, directory, min_bytes), directory)
+    rows = cut(read_archives(write_archives(pages, directory, min_bytes), directory))
+    delete(spark, directory)
+    return rows
