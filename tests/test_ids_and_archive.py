@@ -61,3 +61,21 @@ def test_sharded_files(spark, tmp_path):
 def test_fields_are_cut_to_width(spark, column):
     got = spark.range(1).select(ids.encode(F.lit(0), F.lit((1 << 8) if column == "ticker" else 0), F.lit((1 << 28) if column == "source" else 0)).alias("id")).first()
     assert got.id == 0
+
+
+def test_compaction_again(spark, tmp_path):
+    """A compaction that is run again, or goes on later, adds each row once; rows that share an id stay apart."""
+    path = str(tmp_path / "cold")
+    rows = spark.range(0, 40).select(ids.encode(F.col("id") * 1_000_000, F.lit(0), F.lit(3)).alias("id"), F.col("id").alias("id_ext"))
+    rows = rows.union(rows.withColumn("id_ext", F.col("id_ext") + 1_000))
+    for now in (20_000_000, 20_000_000, 39_000_000):
+        hot = archive.compact(rows, now, path)
+    cold = spark.read.parquet(path)
+    assert cold.count() == cold.select("id", "id_ext").distinct().count() == 64 and hot.count() == 16
+
+
+def test_files_by_time_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "t")
+    archive.write_by_time(spark.range(1_000).select(ids.encode(F.col("id"), F.lit(0), F.col("id")).alias("id")).repartition(5), path)
+    df = archive.lookup(spark.read.parquet(path), spark.read.parquet(path).first().id)
+    assert df.count() == 1 and "EqualTo(id" in df._jdf.queryExecution().executedPlan().toString()

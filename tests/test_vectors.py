@@ -66,6 +66,8 @@ def test_bounds(spark):
     index.init("ip")
     assert index.is_empty() and index.metric == "ip"
     index.close()
+    with pytest.raises(NotInitialised):
+        index.describe()
     with pytest.raises(NotInitialised):
         index.count()
 
@@ -161,3 +163,74 @@ def test_stream_appends(spark, tmp_path):
         spark.createDataFrame(part, SLOTTED).write.mode("append").parquet(source)
         append_stream(spark.readStream.schema(SLOTTED).parquet(source), target, state, 2).awaitTermination()
     assert [r.id for r in top_k(table(spark, target), [1, 1], 3).orderBy("rank").collect()] == [9, 7, 8]
+
+
+def test_slots_follow_one_shuffle(spark):
+    from tidevec.operators.index import with_slots
+
+    df = spark.range(5_000).selectExpr("id * 7919 % 5003 AS id").repartition(9)
+    slotted, n, kept = with_slots(df, ["id"], 10)
+    assert n == 5_000 and [r.slot for r in slotted.orderBy("id").collect()] == list(range(10, 5_010))
+    assert str(slotted._jdf.queryExecution().optimizedPlan()).count("Window") == 0
+    kept.unpersist()
+
+
+def test_search_goes_on_without_the_fast_path(spark, monkeypatch):
+    from pyspark.errors import PySparkRuntimeError
+
+    from tidevec.operators import index as module
+
+    def fails(*args):
+        raise PySparkRuntimeError("no worker")
+
+    rows = [(i, [float(i), 0.0]) for i in range(6)]
+    q = spark.createDataFrame([(1, [2.2, 0.0])], "qid BIGINT, vec ARRAY<FLOAT>")
+    for many in (False, True):
+        index = VectorIndex(spark, 2, mode="arrow").append(spark.createDataFrame(rows, VECS))
+        with monkeypatch.context() as m:
+            m.setattr(module, "knn_arrow", fails)
+            hits = index.search_many(q, 2) if many else index.search([2.2, 0.0], 2)
+            assert [r.id for r in hits.orderBy("rank").collect()] == [2, 3]
+        assert index.mode == "sql" and index.fast_path_missing
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_searches_hand_on_few_rows(spark, monkeypatch, metric):
+    """Tasks hand on k hits of each query by batches, and by expressions little more than a bound lets through; results agree."""
+    from tidevec.operators import search
+
+    monkeypatch.setattr(search, "SAMPLE_VECTORS", 200)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(4_000, 3)))], SLOTTED).repartition(3)
+    queries = df.where("id % 500 = 0").selectExpr("id AS qid", "vec")
+    out = [sorted(map(tuple, f(df, queries, 4, metric, 3).collect())) for f in (knn, knn_arrow)]
+    assert out[0] == out[1] and len(out[0]) == 8 * 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert sorted(map(tuple, knn_arrow(df, queries, 4, metric, 3).collect())) == out[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_followed_stream(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    index = VectorIndex(spark, 2, mode="arrow").follow(target)
+    assert index.is_empty()
+    for part in ([(7, [1.0, 0.0])], [(9, [1.0, 1.0]), (8, [0.0, 1.0])]):
+        spark.createDataFrame(part, VECS).write.mode("append").parquet(source)
+        append_stream(spark.readStream.schema(VECS).parquet(source), target, state, 2).awaitTermination()
+        assert index.search(part[-1][1], 1).first().id == part[-1][0]
+    assert [tuple(r) for r in index.ids().collect()] == [(0, 7), (1, 8), (2, 9)]
+    with pytest.raises(CapacityExceeded):
+        index.add(1, [0.0, 0.0])
+
+
+def test_describe(spark):
+    index = VectorIndex(spark, 2, "ip")
+    with pytest.raises(EmptyIndex):
+        index.cache()
+    row = index.append(spark.createDataFrame([(1, [1.0, 0.0])], VECS)).cache().describe().first()
+    assert (row.vectors, row.bytes, row.mib, row.metric, row.mode) == (1, 16, 0, "ip", "sql") and row.executors >= 1 and row.cores >= 1
+    index.close()
+    with pytest.raises(NotInitialised):
+        index.describe()

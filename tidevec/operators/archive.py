@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidevec.functions.ids import cold_key, seconds_of, source_of
+from tidevec.sources.shared import exists
 
 #: Seconds of the compaction cadence (a quarter of a year) and the ledger's largest count (8 bits).
 CADENCE_SECONDS, LEDGER_MAX = 7_889_400, 255
@@ -16,14 +19,28 @@ def split_by_age(rows: DataFrame, cutoff_seconds: int, id_column: str = "id") ->
     return rows.withColumn("tier", F.when(seconds_of(F.col(id_column)) < cutoff_seconds, "cold").otherwise("hot"))
 
 
-def compact(rows: DataFrame, now_seconds: int, path: str, id_column: str = "id", cadence: int = CADENCE_SECONDS) -> DataFrame:
-    """Append rows older than one cadence to the archive at path, by quarter, with their cold key; returns the rest."""
+def compact(rows: DataFrame, now_seconds: int, path: str, id_column: str = "id", cadence: int = CADENCE_SECONDS, tie: str = "id_ext") -> DataFrame:
+    """Add rows older than one cadence to the archive at path, by quarter, with their cold key; returns the rest.
+
+    A row is known by its id and tie (without a tie column, by all its columns). What the archive has of the
+    same quarters is left out, so a compaction that was broken off or is run again adds each row once.
+    """
+    spark, keys = rows.sparkSession, [id_column, tie] if tie in rows.columns else rows.columns
     tiers = split_by_age(rows, max(0, now_seconds - cadence), id_column)
     cold = tiers.where("tier = 'cold'").drop("tier").withColumns({"cold_key": cold_key(F.col(id_column)), "quarter": F.floor(seconds_of(F.col(id_column)) / cadence).cast("int")})
+    if exists(spark, path):
+        there = spark.read.schema(cold.schema).parquet(path)
+        same = reduce(lambda a, b: a & b, (F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ["quarter", *keys]))
+        cold = cold.alias("c").join(there.alias("t"), same, "left_anti")
     cold.write.mode("append").partitionBy("quarter").parquet(path)
     return tiers.where("tier = 'hot'").drop("tier")
 
 
+def write_by_time(rows: DataFrame, path: str, id_column: str = "id") -> None:
+    """Write rows sorted by id over all files, so that ranges of seconds and single ids skip files and row groups."""
+    rows.repartitionByRange(id_column).sortWithinPartitions(id_column).write.parquet(path)
+
+
 def ledger(rows: DataFrame, id_column: str = "id", tie: str = "id_ext") -> DataFrame:
     """rows with cold_key, before and after: how many rows of the same cold key come before and after, by id then tie, at most 255.
 

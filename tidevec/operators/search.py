@@ -13,8 +13,10 @@ from tidevec.errors import EmptyIndex, KTooLarge, WrongDimension
 from tidevec.functions.scores import METRICS, checked, score
 from tidevec.schemas import HITS
 
-#: Queries that the Arrow path takes from the driver at once: 64 MB of doubles at 1,024 dimensions.
-QUERY_BLOCK = 8_192
+#: Queries that are broadcast at once (64 MB of doubles at 1,024 dimensions), and hits that a task keeps for them.
+QUERY_BLOCK, BLOCK_HITS = 8_192, 2_000_000
+#: Vectors from which the bounds of a search by expressions are taken, at least (16 k if that is more).
+SAMPLE_VECTORS = 4_096
 
 
 def check_k(k: int, count: int) -> None:
@@ -46,23 +48,32 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "l2"
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", dim: int | None = None) -> DataFrame:
     """qid, rank, id, score, slot: the k nearest vectors of each row of queries(qid, vec), fewer if there are fewer.
 
-    Expressions only: the queries, a stated set, are broadcast in blocks of QUERY_BLOCK and scored where
-    the vectors lie; ranks are cut within each task before they meet.
+    Expressions only. The queries, a stated set, are broadcast in blocks and scored where the vectors lie. A
+    sample of the vectors gives each query a bound, the k-th best score in it: nothing worse is among the k
+    best of all. So of the scores few are handed on to be ranked, not vectors times queries.
     """
     if k <= 0:
         return _empty(vectors)
-    out = None
-    width = dim or _dim(vectors)
-    for block in _blocks(queries):
-        pairs = vectors.select("id", "slot", checked(F.col("vec"), width).alias("vec")).crossJoin(F.broadcast(block.select("qid", checked(F.col("vec"), width).alias("qvec"))))
-        scored = pairs.select("qid", "id", score(metric, F.col("vec"), F.col("qvec")).alias("score"), "slot")
+    out, width = None, dim or _dim(vectors)
+    every = max(1, vectors.count() // max(SAMPLE_VECTORS, 16 * k))
+    checked_ = vectors.select("id", "slot", checked(F.col("vec"), width).alias("vec"))
+    sample = checked_.where(F.pmod(F.xxhash64("slot"), F.lit(every)) == 0)
+    measure = score(metric, F.col("vec"), F.col("qvec"))
+    for block in _blocks(queries, k):
+        q = block.select("qid", checked(F.col("vec"), width).alias("qvec"))
+        if every > 1:
+            ranked = sample.crossJoin(F.broadcast(q)).select("qid", measure.alias("score"), "slot").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "slot")))
+            q = q.join(F.broadcast(ranked.where(F.col("rank") == k).select("qid", F.col("score").alias("bound"))), "qid", "left")
+        else:
+            q = q.withColumn("bound", F.lit(None).cast("double"))
+        scored = checked_.crossJoin(F.broadcast(q)).select("qid", "id", measure.alias("score"), "slot", "bound").where("bound is null or score <= bound")
         best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "slot"))).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out.select("qid", "rank", "id", "score", "slot") if out is not None else _empty(vectors)
 
 
 def knn_arrow(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", dim: int | None = None) -> DataFrame:
-    """As knn, scored in numpy by Arrow batch; each batch keeps its k best of each query, then ranks meet.
+    """As knn, scored in numpy by Arrow batch; each task keeps its k best of each query, then ranks meet.
 
     Sums run dimension by dimension, so scores are those of the expressions to the last bit.
     """
@@ -71,30 +82,37 @@ def knn_arrow(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
     if k <= 0:
         return _empty(vectors)
     spark, width, out = vectors.sparkSession, dim or _dim(vectors), None
-    for block in _blocks(queries):
+    for block in _blocks(queries, k):
         rows = block.collect()
+        if not rows:
+            continue
         if any(r.vec is None or len(r.vec) != width or None in r.vec for r in rows):
             raise WrongDimension(f"queries need {width} elements")
         table = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], np.float32).astype(np.float64)))
 
         def best(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             qids, q = table.value
+            kept = (np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64))
             for b in batches:
                 vec = b.column(2)
                 if vec.null_count or len(vec.flatten()) != width * len(vec) or vec.flatten().null_count or set(np.diff(vec.offsets.to_numpy())) - {width}:
                     raise ValueError(f"wrong_dimension: expected {width} elements")
                 v = vec.flatten().to_numpy().reshape(len(vec), width).astype(np.float64)
                 ids, slots = b.column(0).to_numpy(), b.column(1).to_numpy()
-                step = max(1, 4_000_000 // max(1, len(v)))
+                step, parts = max(1, 4_000_000 // max(1, len(v))), []
                 for i in range(0, len(q), step):
                     part = q[i : i + step]
                     total = np.zeros((len(part), len(v)))
                     for d in range(width):
                         total += (v[None, :, d] - part[:, None, d]) ** 2 if metric == "l2" else v[None, :, d] * part[:, None, d]
                     total = 0.0 - total if metric == "ip" else total
-                    order = np.lexsort((np.broadcast_to(slots, total.shape), total), axis=1)[:, :k]
-                    at = order.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids[i : i + step], np.int64), order.shape[1])), pa.array(ids[at]), pa.array(np.take_along_axis(total, order, 1).ravel()), pa.array(slots[at])], ["qid", "id", "score", "slot"])
+                    both = [np.concatenate((x[i : i + step], np.broadcast_to(y, total.shape)), axis=1) for x, y in zip(kept, (total, slots, ids))]
+                    order = np.lexsort((both[1], both[0]), axis=1)[:, :k]
+                    parts.append([np.take_along_axis(x, order, 1) for x in both])
+                kept = tuple(np.concatenate(x) for x in zip(*parts))
+            total, slots, ids = kept
+            if total.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids, np.int64), total.shape[1])), pa.array(ids.ravel()), pa.array(total.ravel()), pa.array(slots.ravel())], ["qid", "id", "score", "slot"])
 
         found = vectors.select("id", "slot", "vec").mapInArrow(best, "qid long, id long, score double, slot long")
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "slot"))).where(F.col("rank") <= k)
@@ -120,7 +138,7 @@ def _empty(vectors: DataFrame) -> DataFrame:
     return vectors.sparkSession.createDataFrame([], "qid BIGINT, " + HITS)
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """queries in parts of about QUERY_BLOCK rows, by hash of qid."""
-    n = -(-queries.count() // QUERY_BLOCK)
+def _blocks(queries: DataFrame, k: int) -> list[DataFrame]:
+    """queries in parts of about QUERY_BLOCK rows, and of BLOCK_HITS hits at most, by hash of qid."""
+    n = -(-queries.count() // max(1, min(QUERY_BLOCK, BLOCK_HITS // k)))
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidevec.errors import TidevecError
 from tidevec.functions import ids
 from tidevec.functions.scores import register as register_scores
 from tidevec.functions.scores import score
 from tidevec.operators import archive, placement, search
 from tidevec.operators.index import VectorIndex
 from tidevec.sources import corpus
+from tidevec.sources.shared import in_folder
+from tidevec.streaming.append import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,29 +61,44 @@ _one = {"l2": _L2.format(a="embedding", b="q"), "ip": _IP.format(a="embedding",
 _many = {"l2": _L2.format(a="v.embedding", b="q.embedding"), "ip": _IP.format(a="v.embedding", b="q.embedding")}
 
 
+def _index(spark: SparkSession, sf_dir: str, mode: str = "sql") -> VectorIndex:
+    return VectorIndex(spark, DIM, "l2", mode=mode).append(_vectors(spark, sf_dir))
+
+
 @_query("SELECT count(*) AS n FROM embeddings")
 def vec_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_index(spark, sf_dir).count(),)], "n BIGINT")
 
 
-@_query("SELECT CAST(min(len(embedding)) AS BIGINT) AS least, CAST(max(len(embedding)) AS BIGINT) AS most FROM embeddings")
+@_query("SELECT CAST(min(len(embedding)) AS BIGINT) AS dim FROM embeddings")
 def vec_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).agg(F.min(F.size("vec")).cast("long").alias("least"), F.max(F.size("vec")).cast("long").alias("most"))
+    """The dimension that the index has checked of every vector."""
+    index = _index(spark, sf_dir)
+    return index.vectors.agg(F.count(F.lit(1))).select(F.lit(index.dim).cast("long").alias("dim"))
 
 
-@_query("SELECT count(*) = 0 AS is_empty FROM embeddings")
+@_query("SELECT true AS is_empty, 'arrow' AS mode, count(*) = 0 AS after_append FROM embeddings")
 def vec_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(_vectors(spark, sf_dir).isEmpty(),)], "is_empty BOOLEAN")
+    """A new index is empty; after an append it is not."""
+    index = VectorIndex(spark, DIM, mode="arrow")
+    before, mode = index.is_empty(), index.mode
+    return spark.createDataFrame([(before, mode, index.append(_vectors(spark, sf_dir)).is_empty())], "is_empty BOOLEAN, mode STRING, after_append BOOLEAN")
 
 
 @_query("SELECT vec_id AS slot, vec_id AS id FROM embeddings")
 def vec_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("slot", "id")
+    return _index(spark, sf_dir).ids()
 
 
 @_query("SELECT vec_id AS slot, CAST(d - 1 AS INTEGER) AS dimension, embedding[d]::DOUBLE AS value FROM embeddings, range(1, 65) r(d)")
 def vec_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("slot", F.posexplode("vec").alias("dimension", "value")).withColumn("value", F.col("value").cast("double"))
+    return _index(spark, sf_dir).data().withColumn("value", F.col("value").cast("double"))
+
+
+@_query("SELECT count(*) AS vectors, 64::INTEGER AS dim, count(*) * 264 AS bytes, count(*) * 264 // 1048576 AS mib, 'l2' AS metric, 'arrow' AS mode, false AS fast_path_missing FROM embeddings")
+def vec_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index brought into memory holds; executors, cores and partitions, which differ by session, are left out."""
+    return _index(spark, sf_dir, "arrow").cache().describe().drop("executors", "cores", "partitions")
 
 
 @_query(_SCORES.format(score=_one["l2"]))
@@ -158,6 +174,32 @@ def vec_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VectorIndex(spark, DIM, "l2", mode="arrow").append(_vectors(spark, sf_dir)).search(_first(spark, sf_dir), K)
 
 
+@_query(_TOP.format(score=_one["l2"]))
+def vec_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search goes on by expressions when its fast path fails."""
+    index = _index(spark, sf_dir, "arrow")
+
+    def fails() -> list:
+        raise PySparkRuntimeError("the fast path is away")
+
+    if index._fast(fails) is not None or index.mode != "sql":
+        raise AssertionError("no fallback")
+    return index.search(_first(spark, sf_dir), K)
+
+
+@_query(_TOP.format(score=_one["l2"]))
+def vec_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors arrive by a stream; the index that follows it searches them."""
+
+    def run(path: str) -> DataFrame:
+        _vectors(spark, sf_dir).select("id", "vec").write.parquet(f"{path}/in")
+        stream = spark.readStream.schema("id BIGINT, vec ARRAY<FLOAT>").parquet(f"{path}/in")
+        append_stream(stream, f"{path}/table", f"{path}/state", DIM).awaitTermination()
+        return VectorIndex(spark, DIM).follow(f"{path}/table").search(_first(spark, sf_dir), K)
+
+    return in_folder(spark, run)
+
+
 @_query("SELECT CAST(CASE WHEN mib = 0 THEN 150 ELSE mib * 1000 // 25600 + 150 END AS BIGINT) AS budget_ms FROM (SELECT count(*) * (64 * 4 + 8) // 1048576 AS mib FROM embeddings)")
 def vec_load_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = VectorIndex(spark, DIM, mode="arrow").append(_vectors(spark, sf_dir))
@@ -182,10 +224,24 @@ def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT vec_id AS slot, vec_id AS id, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings")
 def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save to the shared folder and load into a new index."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints", "tidevec")
-    path = f"{shared.rstrip('/')}/corpus-{uuid.uuid4()}"
-    corpus.save(_vectors(spark, sf_dir), path)
-    return VectorIndex(spark, DIM).load(path).vectors.select("slot", "id", F.col("vec")[0].cast("double").alias("first"), F.col("vec")[DIM - 1].cast("double").alias("last"))
+
+    def run(path: str) -> DataFrame:
+        corpus.save(_vectors(spark, sf_dir), path)
+        return VectorIndex(spark, DIM).load(path).vectors.select("slot", "id", F.col("vec")[0].cast("double").alias("first"), F.col("vec")[DIM - 1].cast("double").alias("last"))
+
+    return in_folder(spark, run)
+
+
+@_query("SELECT * FROM (VALUES ('no file', 'io'), ('no corpus', 'io')) t(path, code)")
+def corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is no corpus is refused with a code, and the index stays as it was."""
+    index, out = VectorIndex(spark, DIM), []
+    for name, path in (("no file", f"{sf_dir}/none.parquet"), ("no corpus", f"{sf_dir}/region.parquet")):
+        try:
+            index.load(path)
+        except TidevecError as e:
+            out.append((name, e.code))
+    return spark.createDataFrame(out if index.is_empty() else [], "path STRING, code STRING")
 
 
 # Time-ordered ids
@@ -229,13 +285,22 @@ def id_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT event_id, id FROM {_EVENTS} WHERE id >= ({_DAY}::BIGINT << 36) AND id < ({_DAY + 86_400}::BIGINT << 36)")
 def id_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where(ids.between_seconds(F.col("id"), _DAY, _DAY + 86_400)).select("event_id", "id")
+    """Events written sorted by id; the range of seconds is pushed to the scan of those files."""
+    return in_folder(spark, lambda path: _by_time(spark, sf_dir, path).where(ids.between_seconds(F.col("id"), _DAY, _DAY + 86_400)).select("event_id", "id"))
+
+
+def _by_time(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    archive.write_by_time(_events(spark, sf_dir), path)
+    return spark.read.parquet(path)
 
 
 @_query(f"SELECT event_id, sec FROM {_EVENTS} WHERE id = (SELECT id FROM {_EVENTS} WHERE event_id = 7)")
 def id_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    return archive.lookup(e, e.where("event_id = 7").first().id).select("event_id", "sec")
+    def run(path: str) -> DataFrame:
+        e = _by_time(spark, sf_dir, path)
+        return archive.lookup(e, e.where("event_id = 7").first().id).select("event_id", "sec")
+
+    return in_folder(spark, run)
 
 
 @_query(f"SELECT event_id, sec FROM {_EVENTS} WHERE event_id = 7")
@@ -254,6 +319,20 @@ def compaction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.split_by_age(_events(spark, sf_dir), _CUTOFF).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(f"SELECT event_id, id, id >> 28 AS cold_key, CAST(sec // {archive.CADENCE_SECONDS // 8} AS INTEGER) AS quarter FROM {_EVENTS} WHERE sec < {_CUTOFF}")
+def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive after two compactions, the first of which is run twice: each cold row is there once."""
+    cadence = archive.CADENCE_SECONDS // 8
+
+    def run(path: str) -> DataFrame:
+        e = _events(spark, sf_dir)
+        for now in (_CUTOFF // 2, _CUTOFF // 2, _CUTOFF):
+            archive.compact(e, now + cadence, path, cadence=cadence, tie="event_id")
+        return spark.read.parquet(path).select("event_id", "id", "cold_key", "quarter")
+
+    return in_folder(spark, run)
+
+
 _LEDGER = f"""SELECT event_id, id, id >> 28 AS cold_key, least(row_number() OVER w - 1, 255) AS before, least(count(*) OVER (PARTITION BY id >> 28) - row_number() OVER w, 255) AS after
     FROM {_EVENTS} WINDOW w AS (PARTITION BY id >> 28 ORDER BY id, event_id)"""
 
@@ -281,14 +360,27 @@ def accel_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.Registry().frame(spark).drop("name")
 
 
-@_query(f"SELECT id::BIGINT AS id, caps::BIGINT AS caps FROM {_REGISTRY} WHERE id = 257")
+@_query(f"SELECT id::BIGINT AS id, caps::BIGINT AS caps FROM {_REGISTRY} WHERE id IN (257, 9999)")
 def accel_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.Registry().frame(spark).where("id = 257").select("id", "caps")
+    found = [placement.Registry().by_id(i) for i in (257, 9_999)]
+    return spark.createDataFrame([(a.id, a.caps) for a in found if a], "id BIGINT, caps BIGINT")
 
 
 @_query(f"SELECT count(*) AS n FROM {_REGISTRY}")
 def accel_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.Registry().frame(spark).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(placement.Registry().count(),)], "n BIGINT")
+
+
+@_query("SELECT * FROM (VALUES ('at first', true, 'ok'), ('off', false, 'no_runner'), ('on again', true, 'ok')) t(runner, active, outcome)")
+def accel_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that needs a capability is placed only while its backend has a runner."""
+    registry, out = placement.Registry(), []
+    for k, (name, active) in enumerate((("at first", None), ("off", False), ("on again", True))):
+        if active is not None:
+            registry.set_runner("cuda", active)
+        outcome = registry.schedule_all([placement.Job(k, placement.FP64, 1_000)])[0][1]
+        out.append((name, registry.runner_active("cuda"), outcome))
+    return spark.createDataFrame(out, "runner STRING, active BOOLEAN, outcome STRING")
 
 
 def _each_mask(column: str, value: str) -> str:
