@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidevec.llm import decontaminate, near_dup, packing, quality, substring
-from tidevec.llm.common import shared_dir
+from tidevec.llm.common import delete, shared_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of documents; what each stage but the last returns is written to the shared folder and read again."""
+    """The packed pieces of documents; what each stage but the last returns is written to the shared folder and read again.
+
+    A stage's table is deleted when the next has been written. Packing checkpoints its pieces, so its result
+    reads none of them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    delete(spark, folder)
+    return out
