@@ -1,9 +1,11 @@
 """Each stage of the pipeline, on what the stage before it kept, against brute force."""
 
 import hashlib
+import os
 
 import pyarrow.parquet as pq
 import pytest
+from cases import SCHEMA, odd_documents
 from test_near_dup import brute as near
 from test_packing import check
 from test_substring import brute as repeats
@@ -11,6 +13,7 @@ from test_texts import brute_hits
 
 import corpus_pipeline
 from tidevec.llm import quality
+from tidevec.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 
@@ -84,3 +87,34 @@ def test_run(spark, stages):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     want = sorted(map(tuple, stages["best-fit packing"][1].select(*columns).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select(*columns).collect())) == want
+
+
+def odd_tables(spark, folder, rows):
+    """Documents of rows with clashing extra columns, labels for some of them and a benchmark, as files."""
+    names = "_host string, _path string, _logit string, _mask string, _items string, _doc string, _twin string, _starts string, c0 string, digest string"
+    docs = spark.createDataFrame([(*r, *["x"] * 10) for r in rows], f"{SCHEMA}, {names}")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[:20]] + [(None, 1, None)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([("i1", "one two three four five six seven eight nine"), (None, "a b"), ("i2", None)], "item_id string, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        table.write.parquet(f"{folder}/{name}.parquet")
+    return docs.columns
+
+
+@pytest.mark.parametrize("rows", [odd_documents(), []])
+def test_odd_rows_and_clashing_names(spark, tmp_path, rows):
+    named = lambda: {p for p in os.listdir(shared_dir(spark)) if p.startswith(("pipeline-", "tidevec-"))}
+    before_all, columns = named(), odd_tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/stage-{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/stage-{k}")
+        own = [c for c in columns if c != "text"]
+        assert docs.select(own).exceptAll(before.select(own)).isEmpty()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+    if rows:
+        assert {None, 4, 5, 6} <= {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+    assert named() == before_all
