@@ -132,7 +132,7 @@ left_ AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept, count(*
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs d LEFT JOIN left_ USING (doc_id)"""
 
 _RULES = rf"""
-WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+WITH docs AS (SELECT doc_id, regexp_extract(source, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)', 1) AS source, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 7], ' ')) AS g FROM docs, unnest(range(1, greatest(len(w) - 6, 1))) r(i)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 repeats AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat FROM twice, range(0, 8) q(j) GROUP BY 1),
