@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 from cases import SCHEMA, odd_documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 from tokenizers import Tokenizer
 
 from tidevec.llm import common, quality_rules, token_counts
@@ -167,5 +168,26 @@ def test_host_verdicts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     want = {**{i: True for i in range(50)}, **{100 + i: False for i in range(50)}, 200: True, 201: False, 202: True, 203: True}
     assert {r.doc_id: r.kept for r in quality_rules.apply_rules(df).collect()} == want
-    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", 0)
     assert {r.doc_id: r.kept for r in quality_rules.apply_rules(df).collect()} == want
+
+
+def test_counts_and_rules_take_columns_by_exact_name(spark):
+    rows = [(1, "one two", "src", "T", 5, "x"), (1, None, None, "T", 5, "x"), (None, "", "https://a.b/c", "T", 5, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, TEXT string, Doc_ID int, _t string")
+    counted = token_counts.count_tokens(df, P.path("word_bpe_49k.json"))
+    assert dict(counted.dtypes)["doc_id"] == "int"
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in counted.collect()) == sorted((i or 0, *tokens(t)) for i, t, *_ in rows)
+    ruled = quality_rules.apply_rules(df)
+    assert dict(ruled.dtypes)["doc_id"] == "int" and sorted(r.n_words for r in ruled.collect()) == [0, 0, 2]
+    assert quality_rules.apply_rules(df.where("false")).collect() == [] and token_counts.count_tokens(df.where("false"), P.path("word_bpe_49k.json")).collect() == []
+
+
+def test_frequent_table_is_drawn_without_a_shuffle(spark, monkeypatch):
+    """The plan of the sample has no exchange, and the lengths are the library's."""
+    plans = []
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", lambda self, f=DataFrame.toLocalIterator: plans.append(self._jdf.queryExecution().executedPlan().toString()) or f(self))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    table_ = token_counts.frequent(docs, P.path("word_bpe_49k.json"), 500)
+    assert plans and "Exchange" not in plans[0] and 0 < len(table_) <= 500
+    assert all(n == len(LIBRARY.encode(w.decode(), add_special_tokens=False).ids) for w, n in list(table_.items())[:100])
