@@ -19,6 +19,8 @@ BATCH_ROWS, BATCH_BYTES = 512, "32m"
 BROADCAST_BYTES = 64_000_000
 #: Python workers live on from stage to stage; so they give freed memory back at once.
 WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Small rows (ids, labels) that one part of a kept table is meant to hold.
+PART_ROWS = 250_000
 #: Entries of a worker's word cache (about 0.2 kB each).
 CACHE_ENTRIES = 150_000
 
@@ -50,10 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and checkpointed: for tables that a lazy result still reads."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, computed once and checkpointed: for tables that a lazy result still reads. rows as in Scratch.keep()."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_few_parts(df, rows)).checkpoint(eager=True)
 
 
 class Scratch:
@@ -63,10 +65,10 @@ class Scratch:
         prepare(spark)
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/tidevec-{uuid.uuid4()}", {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """The same rows, written once and read back."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The same rows, written once and read back; if they are at most `rows` small ones, in no more files than that needs."""
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df if rows is None else in_few_parts(df, rows)).write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = (path, kept)
         return kept
@@ -89,6 +91,11 @@ class Scratch:
         delete(self.spark, self.folder)
 
 
+def in_few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many parts as so many small rows need, if it has more: every file costs the stores and executors something."""
+    return df.coalesce(rows // PART_ROWS + 1)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whatever store the path names."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -206,6 +206,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, site_weight: float = SITE_WEIG
             x = np.array([features(t) for t in as_bytes(b.column(text_at))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.value.logit(x))], names=[*b.schema.names, "_logit"])
 
-    joined = with_sites(marked, cut(table), F.col(f"c{id_at}")).select(*plain.columns, "_host_sum", "_host_n", "_path_sum", "_path_n")
+    joined = with_sites(marked, cut(table, table.count()), F.col(f"c{id_at}")).select(*plain.columns, "_host_sum", "_host_n", "_path_sum", "_path_n")
     scored = joined.mapInArrow(run, joined.withColumn("_logit", F.lit(0.0)).schema)
     return scored.where(posterior(F.col("_logit"), prior, site_weight)[2] >= least).select(*plain.columns).toDF(*names)

@@ -294,7 +294,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select("_doc", "_twin", "text")
     store = anchor_store(docs, scratch)
     total = store.agg(F.sum("n")).first()[0] or 0
-    found = scratch.keep(estimated(store, max(LEAST_RANGES, -(-total // RANGE_ANCHORS))))
+    found = scratch.keep(estimated(store, max(LEAST_RANGES, -(-total // RANGE_ANCHORS))), total // 4)
     scratch.drop(store)
     number, packed = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("starts"))).first()
 
@@ -306,7 +306,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield doc, twin, n, *_windows(h, at, place, np.isin(at[place], _places(places[j])))
 
     read_on = join_few(docs, found, ["_doc", "_twin"], "inner", number, 24 + (packed or 0) // max(number, 1)).select("_doc", "_twin", "text", "starts")
-    located = scratch.keep(_located(read_on, by_places, max(LEAST_RANGES, -(-total // GROUP_ANCHORS))))
+    located = scratch.keep(_located(read_on, by_places, max(LEAST_RANGES, -(-total // GROUP_ANCHORS))), total // 4)
     scratch.drop(found)
     return located
 
@@ -317,9 +317,10 @@ def find_repeats(docs: DataFrame, own: list[str], doc_id: Column, text: Column)
     prepare(spark)
     scratch = Scratch(spark)
     marked = docs.withColumns({"_doc": F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))), "_twin": F.xxhash64(text)})
-    found = cut(repeated_windows(marked.select("_doc", "_twin", text.alias("text")), scratch).withColumnRenamed("starts", "_starts"))
+    located = repeated_windows(marked.select("_doc", "_twin", text.alias("text")), scratch).withColumnRenamed("starts", "_starts")
+    number, packed = located.agg(F.count(F.lit(1)), F.sum(F.octet_length("_starts"))).first()
+    found = cut(located, 4 * number)
     scratch.close()
-    number, packed = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("_starts"))).first()
     return join_few(marked.select(*own, "_doc", "_twin"), found, ["_doc", "_twin"], "left", number, 24 + (packed or 0) // max(number, 1)).select(*own, "_starts")
 
 
