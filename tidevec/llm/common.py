@@ -217,6 +217,11 @@ def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def record_batch(**columns: pa.Array | tuple) -> pa.RecordBatch:
+    """A batch of these columns: arrays, or (values, type)."""
+    return pa.RecordBatch.from_arrays([pa.array(*c) if isinstance(c, tuple) else c for c in columns.values()], names=list(columns))
+
+
 def as_bytes(column: pa.Array) -> list:
     """A string column as bytes objects (None for null), without decoding."""
     return column.cast(pa.binary()).to_pylist()

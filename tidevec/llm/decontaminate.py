@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidevec.llm.common import WORDS, Scratch, as_bytes, cut, join_few, numbered, only, place_of, prepare, runs, type_of, window_hashes
+from tidevec.llm.common import WORDS, Scratch, as_bytes, cut, join_few, numbered, only, place_of, prepare, record_batch, runs, type_of, window_hashes
 
 WINDOW = 8
 #: Bytes of benchmark (texts, ids, and ROW_BYTES for each row) whose windows are one broadcast table, which
@@ -194,12 +194,18 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: in
         hit = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in masks]
         items = [x or [] for x in names]
         digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array([len(x) >= min_items for x in items], pa.bool_())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        many = [len(x) for x in items]
+        return record_batch(
+            doc_id=b.column(0),
+            n_words=(words, pa.int64()),
+            n_hit=(hit, pa.int64()),
+            n_items=(many, pa.int64()),
+            items_sha256=(digests, pa.string()),
+            contaminated=([n >= min_items for n in many], pa.bool_()),
         )
 
-    return _scan(only(docs, "doc_id", "text"), 1, 0, benchmark, window, block_bytes, finish, f"doc_id {type_of(docs, 'doc_id')}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = f"doc_id {type_of(docs, 'doc_id')}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _scan(only(docs, "doc_id", "text"), 1, 0, benchmark, window, block_bytes, finish, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import as_bytes, is_training, only, prepare, type_of
+from tidevec.llm.common import as_bytes, is_training, only, prepare, record_batch, type_of
 
 #: Bounds of the training sample: documents in all and of each language (one at least), by hash of the id, and
 #: bytes of all of them. Languages take turns; of each, documents over LONG bytes come last.
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 lang.append(k)
                 score.append(p)
             ok = [x != UNKNOWN and p >= m.least_score for x, p in zip(lang, score)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
+            yield record_batch(doc_id=b.column(0), held_out=b.column(2), lang_pred=(lang, pa.string()), score=(score, pa.float64()), accepted=(ok, pa.bool_()))
 
     kind, docs = type_of(docs, "doc_id"), only(docs, "doc_id", "text")
     return docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean")

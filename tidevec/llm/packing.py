@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import cut, only, prepare, type_of
+from tidevec.llm.common import cut, only, prepare, record_batch, type_of
 from tidevec.llm.token_counts import load_tokenizer
 
 CAPACITY, END_ID = 1024, 2
@@ -130,7 +130,8 @@ def pieces(docs: DataFrame, path: str, ranks_path: str | None, capacity: int = C
                     start.append(x)
                     length.append(y - x)
                     crc.append(zlib.crc32(memoryview(ids)[4 * x : 4 * y]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            doc_id = b.column(0).take(pa.array(row, pa.int64()))
+            yield record_batch(doc_id=doc_id, piece=(piece, pa.int32()), start=(start, pa.int64()), length=(length, pa.int64()), ids_crc32=(crc, pa.int64()))
 
     return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, piece int, start long, length long, ids_crc32 long")
 

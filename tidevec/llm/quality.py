@@ -149,7 +149,9 @@ def sites(scores: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
     strength = _strength(binomial, (r["spread"] or 0.0) - binomial * (r["noise"] or 0.0))
     table = paths.join(hosts, "_host")
     by_chance = rate * (1 - rate)
-    within = table.where("_paths > 1").agg(F.sum((F.col("_path_sum") / F.col("_path_n") - rate) ** 2).alias("spread"), F.sum(by_chance * (1 / F.col("_path_n") - 1 / F.col("_host_n"))).alias("noise"), F.sum(by_chance).alias("all")).first()
+    spread = F.sum((F.col("_path_sum") / F.col("_path_n") - rate) ** 2).alias("spread")
+    noise = F.sum(by_chance * (1 / F.col("_path_n") - 1 / F.col("_host_n"))).alias("noise")
+    within = table.where("_paths > 1").agg(spread, noise, F.sum(by_chance).alias("all")).first()
     path_strength = _strength(within["all"] or 0.0, (within["spread"] or 0.0) - (within["noise"] or 0.0))
     return table.drop("_paths"), (mean, strength, path_strength)
 

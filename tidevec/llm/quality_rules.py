@@ -99,4 +99,5 @@ def apply_rules(docs: DataFrame, max_host_rate: float = 0.5, min_words: int = 20
     c = cut(c.withColumn("_fails", F.col("base_failed") | (F.col("n_soft_failed") > 0)))
     out = with_hosts(c, host_rates(c))
     kept = ~F.col("base_failed") & (F.col("n_soft_failed") <= F.when(F.col("_rate") > max_host_rate, 0).otherwise(1))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("_rate").alias("host_fail_rate"), F.col("n_soft_failed").cast("long"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc_id", *counts, "base_failed", kept.alias("kept"), F.col("_rate").alias("host_fail_rate"), F.col("n_soft_failed").cast("long"))

@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import WORDS, Scratch, as_bytes, cover, cut, join_few, mix, numbered, only, place_of, prepare, runs, type_of, window_hashes
+from tidevec.llm.common import WORDS, Scratch, as_bytes, cover, cut, join_few, mix, numbered, only, place_of, prepare, record_batch, runs, type_of, window_hashes
 
 WINDOW, ANCHOR = 20, 10
 #: Rows of the sketch; anchors that one merge is meant to see, and cells of its range: about 32 for each, so one
@@ -117,7 +117,7 @@ def merged_sketches(store: DataFrame, ranges: int) -> DataFrame:
                         of.append(row)
                         at.append(k)
                         parts.append(_pack(np.diff(cell[x:y] % RANGE_CELLS, prepend=0).astype(np.uint32), n[x:y] > 1))
-                yield pa.RecordBatch.from_arrays([pa.array([flush] * len(of), pa.binary()), pa.array(of, pa.int32()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], ["flush", "row", "range", "part"])
+                yield record_batch(flush=([flush] * len(of), pa.binary()), row=(of, pa.int32()), range=(at, pa.int64()), part=(parts, pa.binary()))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
@@ -240,7 +240,8 @@ def _located(docs: DataFrame, spread: Callable, shards: int) -> DataFrame:
             here, first = _earliest(h, h2, doc, twin, at)
             homes, found = _parts(_homes(doc[here], twin[here], shards), doc[here], twin[here], at[here])
             of, sent = _parts(_groups(h[first], shards), h[first], h2[first], doc[first], twin[first], at[first])
-            return pa.RecordBatch.from_arrays([pa.array([*homes, *of], pa.int64()), pa.array([True] * len(homes) + [False] * len(of), pa.bool_()), pa.array([*found, *sent], pa.binary())], ["shard", "found", "part"])
+            which = [True] * len(homes) + [False] * len(of)
+            return record_batch(shard=([*homes, *of], pa.int64()), found=(which, pa.bool_()), part=([*found, *sent], pa.binary()))
 
         for b in batches:
             for doc, twin, size, h, h2, at in spread(b):

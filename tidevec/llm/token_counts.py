@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import as_bytes, only, prepare, type_of
+from tidevec.llm.common import as_bytes, only, prepare, record_batch, type_of
 
 #: Documents that the frequent table is drawn from. The table only saves time; counts never depend on it.
 SAMPLE_DOCS = 2_000
@@ -114,6 +114,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             for text in as_bytes(b.column(1)):
                 size.append(len(text or b""))
                 tokens.append(sum(map(length, text.split())) if text else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            over = [n > limit for n in tokens]
+            yield record_batch(doc_id=b.column(0), n_bytes=(size, pa.int64()), n_tokens=(tokens, pa.int64()), over_limit=(over, pa.bool_()))
 
     return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidevec.llm.common import is_training, maybe_broadcast, only, prepare, type_of
+from tidevec.llm.common import is_training, maybe_broadcast, only, prepare, record_batch, type_of
 
 #: Bounds of the training sample: labelled documents, by hash of the id, and bytes of all of them together.
 TRAINING_DOCS, TRAINING_BYTES = 6_000, 32 << 20
@@ -231,7 +231,9 @@ def _scored(docs: DataFrame, model: Model, located: bool, least: float = 0.5) ->
                 p.append(noisy_or(z - floor(len(z))) if len(z) else 0.0)
                 n.append(len(z))
                 worst.append(int(z.argmax()) if len(z) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array(n, pa.int64()), pa.array(worst, pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_sentences", "worst_sentence"])
+            told = [int(x >= 0.5) for x in p]
+            made = {"score": (p, pa.float64()), "predicted": (told, pa.int32()), "n_sentences": (n, pa.int64()), "worst_sentence": (worst, pa.int64())}
+            yield record_batch(doc_id=b.column(0), held_out=b.column(2), **made)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = WordWeights(table.value)
@@ -248,4 +250,5 @@ def _scored(docs: DataFrame, model: Model, located: bool, least: float = 0.5) ->
 
     if located:
         return docs.mapInArrow(spots, f"doc_id {kind}, sentence long, text string, score double")
-    return docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out")).mapInArrow(totals, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, worst_sentence long")
+    rows = docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out"))
+    return rows.mapInArrow(totals, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, worst_sentence long")

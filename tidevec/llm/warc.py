@@ -116,7 +116,8 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     are null, none refers to another. Rows of the largest id itself, if repeated, are all responses.
     """
     p = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("_sha", F.sha1("html"))
-    same = p.where(F.octet_length("html") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _last is not null").select("_sha", "_last")
+    same = p.where(F.octet_length("html") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    same = same.where("_n > 1 and _last is not null").select("_sha", "_last")
     number = same.count()
     p = join_few(p, cut(same, number), ["_sha"], "left", number, 80)
     other = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
