@@ -20,7 +20,7 @@ BROADCAST_BYTES = 64_000_000
 #: Python workers live on from stage to stage; so they give freed memory back at once.
 WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Small rows (ids, labels) that one part of a kept table is meant to hold.
-PART_ROWS = 250_000
+PART_ROWS = 50_000
 #: Entries of a worker's word cache (about 0.2 kB each).
 CACHE_ENTRIES = 150_000
 
