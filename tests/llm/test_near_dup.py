@@ -80,6 +80,50 @@ def test_what_stars_miss_is_found_in_blocks(spark, monkeypatch):
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)) == want
 
 
+def one_band_pair():
+    """Two texts of similarity 24 / 30 that share one band only."""
+    import random
+
+    rng = random.Random(2837)
+    w = [f"{rng.randrange(10**6):x}" for _ in range(28)]
+    return " ".join(w), " ".join(w[3:] + [f"{rng.randrange(10**6):x}" for _ in range(3)])
+
+
+def test_links_of_divided_buckets_that_no_further_band_holds(spark):
+    a, b = one_band_pair()
+    keys = [near_dup.signature(near_dup.shingle_set(t.encode(), 2)) for t in (a, b)]
+    assert (keys[0] == keys[1]).sum() == 1
+    rows = [(1, a), (2, b), (3, "one more text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (near_dup.MOST_CLASSES, 1):  # a bucket of two is over 1
+        assert got(near_duplicates(df, shingle=2, most=most)) == brute(rows, 2)
+    assert [r.doc_id for r in drop_near_duplicates(df, shingle=2, most=1).collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("most", [1, 10])
+def test_large_buckets_in_several_passes(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "PASS_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(near_dup, "TASK_BYTES", 50_000)
+    rows = near_copies(150, (0, 4, 8, 11, 14))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(df, shingle=2, most=most)) == brute(rows, 2)
+
+
+def test_rare_shingles_and_passes_alone_find_all_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PASS_BYTES", 10_000)  # several passes
+    monkeypatch.setattr(near_dup, "TASK_BYTES", 50_000)
+    rows = near_copies(150, (0, 4, 8, 11, 14)) + [(200 + i, t) for i, t in enumerate(one_band_pair())]
+    sets = [(b"%03d" % i, near_dup.shingle_set(t.encode(), 2)) for i, t in rows]
+    large = spark.createDataFrame([(1, d, len(x)) for d, x in sets], "key long, digest binary, n long")
+    whole = spark.createDataFrame([(d, x.tobytes()) for d, x in sets], "digest binary, words binary")
+    none = spark.createDataFrame([], "v binary, label binary")
+    scratch = Scratch(spark)
+    found = components(near_dup.linked_in_large(large, none, whole, 80, scratch), scratch)
+    label = {int(bytes(r.v)): int(bytes(r.label)) for r in found.collect()}
+    assert {i: label.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute(rows, 2).items()}
+    scratch.close()
+
+
 def test_blocks_alone_find_all_links(spark):
     import numpy as np
 

@@ -73,6 +73,14 @@ class Scratch:
         self.paths[id(kept)] = (path, kept)
         return kept
 
+    def add(self, kept: DataFrame, df: DataFrame) -> DataFrame:
+        """A table that keep() gave with the rows of df added to it, in its place."""
+        path, _ = self.paths.pop(id(kept))
+        df.write.mode("append").parquet(path)
+        longer = self.spark.read.schema(kept.schema).parquet(path)
+        self.paths[id(longer)] = (path, longer)
+        return longer
+
     def part(self, kept: DataFrame, *names: str) -> DataFrame:
         """Some columns of a table that keep() gave, in its place."""
         path, _ = self.paths.pop(id(kept))
